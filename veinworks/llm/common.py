@@ -67,7 +67,7 @@ def sized_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     return max(floor, min(200_000, estimate // bytes_each + 1))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``max_bytes`` in each, or
     one row that is longer."""
     for batch in batches:

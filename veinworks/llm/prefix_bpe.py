@@ -31,7 +31,10 @@ from .common import slices
 from .pretokens import CUTS, UNPLAIN
 
 OPEN = 1 << 60
-MEMORY = 600_000
+#: Known words are kept in two generations of about this many.
+MEMORY = 120_000
+#: Words inserted into one trie (neighbours in sorted order).
+TRIE_WORDS = 20_000
 BASE_SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -70,6 +73,7 @@ class PrefixBPE:
         self.apart: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """What stands at one side of the token while it is built: (piece, rank at
@@ -108,7 +112,7 @@ class PrefixBPE:
                 return token
         raise ValueError(f"no token ends {tail!r}")
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Trie of the words in letters, then one depth-first walk."""
         root: dict = {}
         for word in words:
@@ -154,14 +158,18 @@ class PrefixBPE:
     def encode(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
         """Each text's words as (number of ids, ids in decimal, decoded)."""
         if len(self.known) > MEMORY:
-            self.known.clear()
-            self.apart.clear() if len(self.apart) > 4 * MEMORY else None
+            self.known, self.older = {}, self.known
+        if len(self.apart) > 4 * MEMORY:
+            self.apart.clear()
         cut = [self.words(t or "") for t in texts]
         for s, i in self.specials.items():
             self.known[s] = (1, str(i), s)
-        fresh = set().union(*cut) - self.known.keys()
-        if fresh:
-            self.learn(fresh)
+        missing = set().union(*cut) - self.known.keys()
+        again = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        fresh = sorted(missing - again)
+        for i in range(0, len(fresh), TRIE_WORDS):
+            self.learn(fresh[i : i + TRIE_WORDS])
         get = self.known.__getitem__
         return [list(map(get, words)) for words in cut]
 

@@ -24,8 +24,9 @@ CUTS = {
     "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+"),
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+"),
 }
-#: A worker forgets its words beyond this many (some 200 bytes each).
-MEMORY = 1_000_000
+#: A worker keeps its words in two generations of about this many (some 200
+#: bytes each); words of the older that come up again move to the newer.
+MEMORY = 200_000
 
 
 class MemoEncoder:
@@ -43,6 +44,7 @@ class MemoEncoder:
         self.cut = CUTS[kind].findall
         self.lower = kind == "word"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
         return UNPLAIN.search(text) is None and not any(s in text for s in self.specials)
@@ -55,8 +57,8 @@ class MemoEncoder:
         missing: set[str] = set()
         odd = []
         if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         for i, text in enumerate(texts):
             text = text or ""
             if self.plain(text):
@@ -66,7 +68,9 @@ class MemoEncoder:
                 odd.append(i)
         missing.difference_update(known)
         if missing:
-            fresh = list(missing)
+            again = missing & older.keys()
+            known.update((w, older[w]) for w in again)
+            fresh = list(missing - again)
             for start in range(0, len(fresh), 20_000):
                 part = fresh[start : start + 20_000]
                 for word, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
