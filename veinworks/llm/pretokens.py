@@ -9,6 +9,7 @@ any text with a special token's spelling, goes whole to the library.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -26,7 +27,7 @@ CUTS = {
 }
 #: A worker keeps its words in two generations of about this many (some 200
 #: bytes each); words of the older that come up again move to the newer.
-MEMORY = 200_000
+MEMORY = 350_000
 
 
 class MemoEncoder:
@@ -86,5 +87,7 @@ class MemoEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> MemoEncoder:
-    """One encoder in each Python worker."""
+    """One encoder in each Python worker. Its words hold no reference cycles, so
+    the collector may look at them less often."""
+    gc.set_threshold(200_000, 20, 100)
     return MemoEncoder(path, kind)

@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import doc_remainder, slices
 
-ORDERS = (3, 4, 5)
-MAX_ROWS = 1500
+ORDERS = (3, 5, 7)
+MAX_ROWS = 2500
 USUAL_CHARS = 20_000
 MAX_LONG = 100
 MAX_CHARS = 200_000
 MAX_FEATURES = 20_000
 LEAST_FEATURES = 200
 CHI_SQUARED = 30.0
+COMMON = 0.02
 BITMAP = 22
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD1B54A32D192ED03)
@@ -101,35 +102,51 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, shrink: float =
     nothing = np.zeros(0, np.uint64)
     if not len(y) or y.min() == y.max():
         return Model(nothing, np.zeros(0), 40.0 if len(y) and y[0] else -40.0)
-    per_text = []
-    for t in texts:
-        found = np.unique(np.concatenate(list(gram_hashes(code_points([t])[0]))))
-        per_text.append(found[found != 0])
-    grams = np.concatenate(per_text)
+    n, n1 = len(y), y.sum()
+    bits = np.uint64(64 - BITMAP)
+
+    def grams(text: str) -> np.ndarray:
+        found = np.unique(np.concatenate(list(gram_hashes(code_points([text])[0]))))
+        return found[found != 0]
+
+    def worth(df: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        """Chi-squared of those found in a fair share of a class: among a million
+        n-grams only clear association counts, for labels are noisy."""
+        common = (positive >= np.maximum(2, COMMON * n1)) | (df - positive >= np.maximum(2, COMMON * (n - n1)))
+        return n * (positive * n - df * n1) ** 2 / np.maximum(df * (n - df) * n1 * (n - n1), 1e-9) * common
+
+    # First by hash bucket, in fixed memory; then exactly, of promising buckets.
+    counts = np.zeros((2, 1 << BITMAP), np.int32)
+    for t, label in zip(texts, y, strict=True):
+        counts[int(label), np.unique(grams(t) >> bits)] += 1
+    chi = worth((counts[0] + counts[1]).astype(np.float64), counts[1].astype(np.float64))
+    least = min(CHI_SQUARED, np.partition(chi, -LEAST_FEATURES)[-LEAST_FEATURES])
+    hopeful = (chi >= 0.5 * least) & (chi > 0)
+    del counts, chi
+    per_text = [(g := grams(t))[hopeful[g >> bits]] for t in texts]
+    grams_all = np.concatenate(per_text)
     rows = np.repeat(np.arange(len(y)), [len(g) for g in per_text])
-    del per_text
-    features, column, df = np.unique(grams, return_inverse=True, return_counts=True)
-    del grams
+    features, column, df = np.unique(grams_all, return_inverse=True, return_counts=True)
     positive = np.bincount(column, weights=y[rows], minlength=len(features))
-    p, q = (positive + smooth) / (y.sum() + 2 * smooth), (df - positive + smooth) / ((1 - y).sum() + 2 * smooth)
+    p, q = (positive + smooth) / (n1 + 2 * smooth), (df - positive + smooth) / (n - n1 + 2 * smooth)
     ratio = np.log(p / q)
-    # Among a million n-grams only those of clear association count (chi-squared).
-    n, n1 = len(y), y.sum()
-    worth = n * (positive * n - df * n1) ** 2 / np.maximum(df * (n - df) * n1 * (n - n1), 1e-9)
-    best = np.argsort(-worth, kind="stable")[:MAX_FEATURES]
-    best = np.sort(best[: max(LEAST_FEATURES, int((worth[best] >= CHI_SQUARED).sum()))])
+    chi = worth(df.astype(np.float64), positive)
+    best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
+    best = best[: max(LEAST_FEATURES, int((chi[best] >= CHI_SQUARED).sum()))]
+    best = np.sort(best[chi[best] > 0])
+    if not len(best):
+        return Model(nothing, np.zeros(0), float(np.log(n1 / (n - n1))))
     place = np.full(len(features), -1)
     place[best] = np.arange(len(best))
     keep = place[column] >= 0
     rows, column, features, ratio = rows[keep], place[column][keep], features[best], ratio[best]
     w, b = np.zeros(len(best)), 0.0
-    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh the same
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     x = ratio[column]
     for t in range(1, rounds + 1):
         z = np.bincount(rows, weights=x * w[column], minlength=len(y)) + b
-        g = share * (0.5 * (1 + np.tanh(0.5 * z)) - y)
-        gw, gb = np.bincount(column, weights=x * g[rows], minlength=len(w)) + 1e-4 * w, g.sum()
+        g = (0.5 * (1 + np.tanh(0.5 * z)) - y) / n
+        gw, gb = np.bincount(column, weights=x * g[rows], minlength=len(w)) + 1e-3 * w, g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
@@ -139,16 +156,15 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, shrink: float =
 
 
 def best_shift(z: np.ndarray, y: np.ndarray) -> float:
-    """Moves the border to the middle of the widest gap with fewest errors of
-    both classes, weighed alike."""
+    """Moves the border to the middle of the widest gap with fewest errors."""
     order = np.argsort(z, kind="stable")
     zs, ys = z[order], y[order]
-    missed = np.concatenate([[0], np.cumsum(ys)]) / y.sum()
-    wrong = 1 - np.concatenate([[0], np.cumsum(1 - ys)]) / (1 - y).sum()
+    missed = np.concatenate([[0], np.cumsum(ys)])
+    wrong = (1 - y).sum() - np.concatenate([[0], np.cumsum(1 - ys)])
     errors = missed + wrong
     edges = np.concatenate([[zs[0] - 1], (zs[1:] + zs[:-1]) / 2, [zs[-1] + 1]])
     width = np.concatenate([[0], np.diff(zs), [0]])
-    best = np.lexsort((-width, np.round(errors, 12)))[0]
+    best = np.lexsort((-width, errors))[0]
     return -float(edges[best])
 
 
