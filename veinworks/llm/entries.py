@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, prefix_bpe, token_store, topk, toxicity
+from . import language_id, packing, prefix_bpe, token_store, topk, toxicity, weak_rules
 from .common import doc_remainder, documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (doc_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "agreeing")
 
 
+def op4_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
@@ -65,7 +69,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_language_id, op5_prefix_bpe, op6_uniform_threshold, op7_toxicity, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_weak_rules, op5_prefix_bpe, op6_uniform_threshold, op7_toxicity, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
