@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, slices
+from .common import doc_remainder, materialise, slices
 
 ORDERS = (3, 5, 7)
 MAX_ROWS = 2500
@@ -169,18 +169,19 @@ def best_shift(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on labelled rows outside the held-out fold: at most ``max_rows`` of
-    each class, those of smallest hash."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y is not null")
-    known = known.where(doc_remainder(modulus, "id") != 0)
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = known.join(texts, "id").withColumn("h", F.xxhash64("id"))
-    drawn = []
-    for toxic in (True, False):
-        for low, high, most in ((-1, USUAL_CHARS, max_rows), (USUAL_CHARS, MAX_CHARS, MAX_LONG)):
-            own = rows.where(((F.col("y") != 0) == F.lit(toxic)) & (F.length("text") > low) & (F.length("text") <= high))
-            drawn += [(r["text"], int(toxic)) for r in own.orderBy("h", "id", "text").limit(most).select("text").collect()]
-    return fit([t for t, _ in drawn], [y for _, y in drawn])
+    """Fit on labelled rows outside the held-out fold. From the labels alone the
+    2 * ``max_rows`` ids of smallest hash are drawn for each class; that list is
+    broadcast, so no text is shuffled, and of the texts found the first of each
+    class and length are taken."""
+    known = labels.select(F.col("doc_id").alias("id"), (F.col("toxic") != 0).alias("y")).where("id is not null and y is not null")
+    known = known.where(doc_remainder(modulus, "id") != 0).distinct().withColumn("h", F.xxhash64("id"))
+    drawn = [known.where(F.col("y") == F.lit(toxic)).orderBy("h", "id").limit(2 * max_rows) for toxic in (True, False)]
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
+    found = materialise(texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").withColumn("long", F.length("text") > USUAL_CHARS), "sample")
+    w = Window.partitionBy("y", "long").orderBy("h", "id", "text")
+    found = found.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= F.when(F.col("long"), MAX_LONG).otherwise(max_rows))
+    rows = found.orderBy("y", "h", "id", "turn").select("text", "y").collect()
+    return fit([r["text"] for r in rows], [int(r["y"]) for r in rows])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
