@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, packing, prefix_bpe, token_store, topk, toxicity, weak_rules
+from . import backoff_lm, jaccard_join, language_id, packing, prefix_bpe, token_store, topk, toxicity, weak_rules
 from .common import doc_remainder, documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -68,12 +68,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("length", F.col("length").cast("long"))
 
 
+def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(documents(spark, sf_dir, "doc_id", "text"), modulus=7, remainder=2)
+
+
 def op10_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(documents(spark, sf_dir, "doc_id", "text"), n=3, p=90, q=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_weak_rules, op5_prefix_bpe, op6_uniform_threshold, op7_toxicity, op8_best_fit_packing, op10_part_enum)}
+    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_weak_rules, op5_prefix_bpe, op6_uniform_threshold, op7_toxicity, op8_best_fit_packing, op9_backoff_automaton, op10_part_enum)}
 
 
 def oracle_sql() -> dict[str, str]:
