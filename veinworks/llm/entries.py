@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, jaccard_join, language_id, packing, prefix_bpe, token_store, topk, toxicity, weak_rules
+from . import backoff_lm, chat_tree, jaccard_join, language_id, packing, prefix_bpe, token_store, topk, toxicity, weak_rules
 from .common import doc_remainder, documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -37,6 +38,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(shards).withColumnRenamed("key", "doc_id")
 
 
+def op2_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat_tree.digests(chat_tree.build(rows.unionByName(extra)))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     network = language_id.train(docs, modulus=5)
@@ -76,8 +84,12 @@ def op10_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(documents(spark, sf_dir, "doc_id", "text"), n=3, p=90, q=100)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op3_language_id, op4_weak_rules, op5_prefix_bpe, op6_uniform_threshold, op7_toxicity, op8_best_fit_packing, op9_backoff_automaton, op10_part_enum)}
+    return {f.__name__: f for f in (op1_token_store, op2_prefix_tree, op3_language_id, op4_weak_rules, op5_prefix_bpe, op6_uniform_threshold, op7_toxicity, op8_best_fit_packing, op9_backoff_automaton, op10_part_enum, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
