@@ -14,11 +14,13 @@ Signatures are packed per batch: entries of a signature that meet in a batch
 leave as one, with the batch's other members beside it, so a hot signature sends
 one entry a batch. Classes that share a signature are candidates, and links are
 checked on the exact sets. Only components are wanted, so pairs within a bucket
-are never all formed: each class first meets one pivot, components are taken,
-and then rounds let only classes outside a bucket's largest component meet
-members of other components, until none is left untested. Every link between
-different components is thus tested or implied. Nothing of all documents comes
-to the driver; lineage ends in written tables.
+are never all formed. Each class meets the most central class of its buckets
+(its pivot) and is known from then on by what it differs in from the pivot's
+group at large. Members near that consensus are linked by their distances from
+it; a member that is not can only be linked to one that shares some of its
+differences, and prefixes of the rarest differences find those. Every link
+between different components is thus found or implied, whatever a group's size.
+Nothing of all documents comes to the driver; lineage ends in written tables.
 
 Defined cases: null or empty texts and texts without a word have no set and link
 with nothing; fewer words than n make one n-gram; rows of one id are one
@@ -291,12 +293,28 @@ def exact_sets(df: DataFrame, wanted: DataFrame, n: int, key: str, text: str) ->
     return rows.mapInArrow(run, "cls long, elements binary")
 
 
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, x, m, size, n_diff, diff): each pair's symmetric difference; where the
+    group has only the two, its size alone."""
+    rows = pairs.join(sets.toDF("c", "left"), "c").join(sets.toDF("x", "right"), "x").select("c", "x", "m", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "right"):
+            sizes, counts, found = [], [], []
+            for m, x, y in zip(batch.column("m").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                d = np.setxor1d(x, y, assume_unique=True)
+                sizes.append(len(y))
+                counts.append(len(d))
+                found.append(d.view(np.int64) if m > 2 else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in "cxm"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["c", "x", "m", "size", "n_diff", "diff"])
+
+    return rows.mapInArrow(run, "c long, x long, m long, size long, n_diff long, diff array<long>")
+
+
 def tested(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b, linked) of the pairs, on their exact sets. Sizes go first."""
-    size = sets.select("cls", (F.length("elements") / 8).alias("size"))
-    fit = pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
-    near = fit.where(q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b")).select("a", "b")
-    rows = near.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
+    """The pairs (a, b) that are linked, by their exact sets."""
+    rows = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "right"):
@@ -305,9 +323,62 @@ def tested(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(q * both >= p * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
-
-    return rows.mapInArrow(run, "a long, b long, linked boolean")
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def group_around_pivots(members: DataFrame) -> DataFrame:
+    """(c, x, m): every class x with each pivot c of its buckets, and how many
+    classes meet there. A bucket's pivot is its most central class: the one whose
+    buckets are fullest, such as the text that the others are copies of."""
+    full = members.groupBy("sig").agg(F.count("*").alias("n"))
+    central = members.join(full, "sig").groupBy("cls").agg(F.sum("n").alias("w"))
+    ranked = members.join(central, "cls")
+    pivots = ranked.groupBy("sig").agg(F.max_by("cls", F.struct("w", "cls")).alias("c"))
+    pairs = members.join(pivots, "sig").where("cls <> c").select("c", F.col("cls").alias("x")).distinct()
+    sizes = pairs.groupBy("c").agg((F.count("*") + 1).alias("m"))
+    return pairs.join(sizes, "c")
+
+
+def around_consensus(met: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """(c, x, d, slack, n_diff) of all members of all groups, pivots among them. A
+    group's reference is its pivot changed by whatever more than half of the
+    members differ in; d is a member's difference from it. With slack =
+    (q - p) * size - (q + p) * |d|, two members of slacks that sum to 0 or more are
+    surely linked, for |d1| + |d2| bounds what they differ in."""
+    pivots = met.select("c", "m").distinct().join(sets.select(F.col("cls").alias("c"), (F.length("elements") / 8).cast("long").alias("size")), "c")
+    every = met.unionByName(pivots.select("c", F.col("c").alias("x"), "m", "size", F.lit(0).cast("long").alias("n_diff"), F.when(F.col("m") > 2, F.array().cast("array<long>")).alias("diff")))
+    counts = met.where("m > 2").select("c", "m", F.explode("diff").alias("e")).groupBy("c", "m", "e").agg(F.count("*").alias("n"))
+    # At most twice the mean difference of a group.
+    usual = counts.where("2 * n > m").groupBy("c").agg(F.collect_list("e").alias("h"))
+    empty = F.array().cast("array<long>")
+    with_h = every.join(usual, "c", "left").withColumn("h", F.coalesce("h", empty))
+    d = F.when(F.col("m") > 2, F.array_union(F.array_except("diff", "h"), F.array_except("h", "diff")))
+    rows = with_h.select("c", "x", "size", d.alias("d"), "n_diff")
+    rows = rows.withColumn("n_diff", F.when(F.col("d").isNotNull(), F.size("d").cast("long")).otherwise(F.col("n_diff")))
+    return rows.withColumn("slack", (q - p) * F.col("size") - (q + p) * F.col("n_diff"))
+
+
+def untested(placed: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from (c, x, label, d,
+    n_diff, slack, most). A stray is short of slack even with the best member, so
+    its links share -(slack1 + slack2) / (2 (q + p)) elements of d at least; then
+    the rarest |d| - (that) + 1 elements of both share one. Rarest-first prefixes
+    are joined, elements of one component left out."""
+    split = placed.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c")
+    rows = placed.where("d is not null").join(split, "c", "left_semi")
+    cells = rows.select("c", "x", "label", "slack", "most", "n_diff", F.explode("d").alias("e"))
+    counts = cells.groupBy("c", "e").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    w = Window.partitionBy("c", "x").orderBy("n", "e")
+    cells = cells.join(counts, ["c", "e"]).withColumn("turn", F.row_number().over(w)).where("lo < hi")
+    step = 2 * (q + p)
+    of_stray = F.ceil(-(F.col("slack") + F.col("most")) / step)
+    of_other = F.ceil((F.col("most") + 1 - F.col("slack")) / step)
+    cells = materialise(cells.where(F.col("turn") <= F.col("n_diff") - F.least(of_stray, of_other) + 1).withColumns({"first": (F.col("slack") + F.col("most") < 0) & (F.col("turn") <= F.col("n_diff") - of_stray + 1), "second": F.col("turn") <= F.col("n_diff") - of_other + 1}), "prefixes")
+    left = cells.where("first").select("c", "e", F.col("x").alias("a"), F.col("label").alias("la"))
+    right = cells.where("second").select("c", "e", F.col("x").alias("b"), F.col("label").alias("lb"))
+    return left.join(right, ["c", "e"]).where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -340,35 +411,17 @@ def join_components(df: DataFrame, n: int = 3, p: int = 90, q: int = 100, key: s
     members = materialise(members.join(sets.select("cls"), "cls", "left_semi"), "members")
     repeated = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z")
     same_id = named.join(repeated, "doc_id").where("cls > a").select("a", F.col("cls").alias("b"))
-    # First round: each class meets the least pivot of its buckets.
-    pairs = members.where("cls <> pivot").groupBy(F.col("cls").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    done = materialise(tested(pairs, sets, p, q).union(same_id.distinct().select("a", "b", F.lit(True).alias("linked"))), "tested")
-    labels = components(done.where("linked").select("a", "b"))
-    members = members.select("sig", "cls").distinct()
-    pivots = 8
-    while True:
-        placed = members.join(labels.toDF("cls", "label"), "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label"))
-        split = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-        mixed = materialise(placed.join(split, "sig", "left_semi"), "mixed")
-        counts = mixed.groupBy("sig", "label").agg(F.count("*").alias("n"))
-        largest = counts.groupBy("sig").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-        strays = mixed.join(counts, ["sig", "label"]).join(largest, "sig").where("label <> largest")
-        w = Window.partitionBy("sig").orderBy("n", "cls")
-        chosen = strays.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= pivots).select("sig", F.col("cls").alias("x"), F.col("label").alias("x_label"))
-        met = mixed.join(chosen, "sig").where("label <> x_label").select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
-        old = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        todo = materialise(met.join(old, ["a", "b"], "left_anti"), "pairs")
-        more = strays.groupBy("sig").count().where(F.col("count") > pivots).limit(1).count()
-        if todo.limit(1).count():
-            result = materialise(tested(todo, sets, p, q), "tested")
-            # Pairs whose sizes rule a link out were not compared: tested all the same.
-            ruled_out = todo.join(result.select("a", "b"), ["a", "b"], "left_anti").withColumn("linked", F.lit(False))
-            done = materialise(done.union(result).union(ruled_out), "tested")
-            if result.where("linked").limit(1).count():
-                labels = components(done.where("linked").select("a", "b"))
-        elif not more:
-            break
-        pivots *= 4
+    met = materialise(differences(group_around_pivots(members.select("sig", "cls").distinct()), sets), "differences")
+    around = materialise(around_consensus(met, sets, p, q), "consensus")
+    best = around.groupBy("c").agg(F.max_by("x", F.struct("slack", "x")).alias("best"), F.max("slack").alias("most"))
+    around = around.join(best, "c")
+    star = around.where("x <> best and slack + most >= 0").select(F.col("best").alias("a"), F.col("x").alias("b"))
+    links = materialise(star.union(same_id.select("a", "b")).distinct(), "links")
+    labels = components(links)
+    placed = around.join(labels.toDF("x", "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+    more = materialise(tested(untested(placed, p, q), sets, p, q), "more-links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
     lowest = firsts.join(labels.toDF("cls", "label"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
     names = lowest.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = lowest.join(names, "label").select("cls", "component_id")
