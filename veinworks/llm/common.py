@@ -59,11 +59,12 @@ def doc_remainder(modulus: int, doc_id: str | Column = "doc_id") -> Column:
 
 
 def sized_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """How many shuffle partitions hold ``df``: by Catalyst's size estimate, and
-    no fewer than the session's own setting. Estimates over a petabyte are those
-    of plans without statistics and count as unknown."""
+    """How many shuffle partitions hold ``df``: by the size of the tables it reads,
+    and no fewer than the session's own setting. Sizes over a petabyte are those
+    of tables without statistics and count as unknown."""
     spark = df.sparkSession
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    estimate = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return floor if estimate > 10**15 else max(floor, min(200_000, estimate // bytes_each + 1))
 

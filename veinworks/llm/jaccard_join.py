@@ -14,7 +14,8 @@ Signatures are packed per batch: entries of a signature that meet in a batch
 leave as one, with the batch's other members beside it, so a hot signature sends
 one entry a batch. Classes that share a signature are candidates, and links are
 checked on the exact sets. Only components are wanted, so pairs within a bucket
-are never all formed. Each class meets the most central class of its buckets
+of any size are never all formed: up to `SMALL_BUCKET` classes they are, thinned
+by sketches that bound the difference from below. Elsewhere a class meets the most central class of its buckets
 (its pivot) and is known from then on by what it differs in from the pivot's
 group at large. Members near that consensus are linked by their distances from
 it; a member that is not can only be linked to one that shares some of its
@@ -44,6 +45,9 @@ from .common import materialise, sized_partitions, slices, text_bytes
 U = np.uint64
 _M1, _M2, _BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 PARTS, LEFT_OUT = 3, 1
+CELLS = 128
+#: Buckets of up to so many classes form all their pairs, which sketches thin out.
+SMALL_BUCKET = 8
 SPARE, SPARE_FROM = 2, 16
 
 
@@ -195,16 +199,26 @@ def class_hashes(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, h, U(0)).view(np.int64)
 
 
+def sketches(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many elements of each set fall into each of CELLS cells (up to 255). The
+    cells' differences sum to no more than what two sets differ in."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = (mix(elements + _BASE) >> U(33)).astype(np.int64) % CELLS
+    counts = np.bincount(owner * CELLS + cell, minlength=len(sizes) * CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(len(sizes), CELLS)
+
+
 def classify(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, cls (null without a set). Narrow."""
+    """doc_id, n_shingles, cls (null without a set), sketch. Narrow."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             elements, sizes = shingle_sets(batch.column("text"), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(class_hashes(elements, sizes), mask=sizes == 0)], names=["doc_id", "n_shingles", "cls"])
+            cells = pa.array([x.tobytes() for x in sketches(elements, sizes)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(class_hashes(elements, sizes), mask=sizes == 0), cells], names=["doc_id", "n_shingles", "cls", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
 
 
 def buckets(df: DataFrame, n: int, p: int, q: int, text: str, n_parts: int) -> DataFrame:
@@ -239,13 +253,17 @@ def buckets(df: DataFrame, n: int, p: int, q: int, text: str, n_parts: int) -> D
             sig, cls, to = sig[order], cls[order], to[order]
             cuts = np.flatnonzero(np.diff(to)) + 1
             if len(to):
-                yield _packed(to[np.concatenate([[0], cuts])].tolist(), np.split(sig, cuts), np.split(cls, cuts), None)
+                # Classes by their place in the row's own list: two bytes or four.
+                tables = [np.unique(c, return_inverse=True) for c in np.split(cls, cuts)]
+                yield _packed(to[np.concatenate([[0], cuts])].tolist(), np.split(sig, cuts), [t.astype(np.int64) for t, _ in tables], None, [i.astype(np.uint16 if len(t) < 65536 else np.uint32) for t, i in tables])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            for part, s, c, b in zip(*(batch.column(x).to_pylist() for x in ("part", "sigs", "classes", "pivots")), strict=True):
+            for part, s, c, b, i in zip(*(batch.column(x).to_pylist() for x in ("part", "sigs", "classes", "pivots", "places")), strict=True):
                 s, c = np.frombuffer(s, U), np.frombuffer(c, np.int64)
+                if i is not None:
+                    c = c[np.frombuffer(i, np.uint16 if len(c) < 65536 else np.uint32)]
                 if b is not None:
                     b = np.frombuffer(b, np.int64)
                     yield _members(np.concatenate([s, s]), np.concatenate([c, b]), np.concatenate([b, b]))
@@ -263,13 +281,13 @@ def buckets(df: DataFrame, n: int, p: int, q: int, text: str, n_parts: int) -> D
             keep = fresh & several[bucket]
             yield _members(sig[keep], cls[keep], cls[np.flatnonzero(new)][bucket[keep]])
 
-    packed = rows.mapInArrow(sign, "part int, sigs binary, classes binary, pivots binary")
+    packed = rows.mapInArrow(sign, "part int, sigs binary, classes binary, pivots binary, places binary")
     return packed.repartition(n_parts, "part").mapInArrow(meet, "sig long, cls long, pivot long")
 
 
-def _packed(to: list, sigs: list, classes: list, pivots: list | None) -> pa.RecordBatch:
-    blob = lambda xs: pa.array([x.tobytes() for x in xs], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), blob(sigs), blob(classes), blob(pivots) if pivots else pa.nulls(len(to), pa.binary())], names=["part", "sigs", "classes", "pivots"])
+def _packed(to: list, sigs: list, classes: list, pivots: list | None, places: list | None = None) -> pa.RecordBatch:
+    blob = lambda xs: pa.array([x.tobytes() for x in xs], pa.binary()) if xs else pa.nulls(len(to), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), blob(sigs), blob(classes), blob(pivots), blob(places)], names=["part", "sigs", "classes", "pivots", "places"])
 
 
 def _members(sig: np.ndarray, cls: np.ndarray, pivot: np.ndarray) -> pa.RecordBatch:
@@ -282,12 +300,17 @@ def exact_sets(df: DataFrame, wanted: DataFrame, n: int, key: str, text: str) ->
     rows = texts.join(wanted, "doc_id").select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows of one id meet in a task
         for batch in slices(batches, "text"):
             elements, sizes = shingle_sets(batch.column("text"), n)
             own = class_hashes(elements, sizes)
             cls = batch.column("cls").to_numpy()
             cuts = np.split(elements, np.cumsum(sizes)[:-1])
-            right = [i for i in range(len(cls)) if sizes[i] and own[i] == cls[i]]
+            right = []
+            for i in np.flatnonzero((sizes > 0) & (own == cls)).tolist():
+                if int(cls[i]) not in done:
+                    done.add(int(cls[i]))
+                    right.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(cls[right]), pa.array([cuts[i].tobytes() for i in right], pa.binary())], names=["cls", "elements"])
 
     return rows.mapInArrow(run, "cls long, elements binary")
@@ -328,6 +351,27 @@ def tested(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def near_pairs(members: DataFrame, small: DataFrame, firsts: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of small buckets that their sketches do not rule out."""
+    own = members.join(small, "sig").select("sig", "cls")
+    pairs = own.toDF("sig", "a").join(own.toDF("sig", "b"), "sig").where("a < b").select("a", "b").distinct()
+    known = firsts.select("cls", "size", "sketch")
+    rows = pairs.join(known.toDF("a", "na", "left"), "a").where("na > 0").join(known.toDF("b", "nb", "right"), "b")
+    rows = rows.where(q * F.least("na", "nb") >= p * F.greatest("na", "nb")).select("a", "b", "na", "nb", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = lambda c, b=batch: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64)
+            apart = np.abs(cells("left") - cells("right")).sum(axis=1)
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = pa.array((q + p) * apart <= (q - p) * total)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def group_around_pivots(members: DataFrame) -> DataFrame:
     """(c, x, m): every class x with each pivot c of its buckets, and how many
     classes meet there. A bucket's pivot is its most central class: the one whose
@@ -402,21 +446,26 @@ def join_components(df: DataFrame, n: int = 3, p: int = 90, q: int = 100, key: s
     docs = materialise(classify(df, n, key, text), "classes")
     # About one signature entry for each n-gram, some ten bytes of text apart.
     n_parts = sized_partitions(df.select(text), 48 << 20)
-    members = materialise(buckets(df, n, p, q, text, n_parts).distinct(), "buckets")
+    every = materialise(buckets(df, n, p, q, text, n_parts).select("sig", "cls").distinct(), "buckets")
     named = docs.where("cls is not null and doc_id is not null")
-    firsts = named.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    known = firsts.join(members.select("cls").distinct(), "cls", "left_semi")
-    sets = materialise(exact_sets(df, known, n, key, text).dropDuplicates(["cls"]), "sets")
+    firsts = materialise(named.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch")), "firsts")
+    full = every.groupBy("sig").agg(F.count("*").alias("n"))
+    pairs = materialise(near_pairs(every, full.where(f"n <= {SMALL_BUCKET}").select("sig"), firsts, p, q), "near")
+    members = materialise(every.join(full.where(f"n > {SMALL_BUCKET}").select("sig"), "sig", "left_semi"), "crowded")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(members.select("cls")).distinct()
+    known = firsts.select("cls", "doc_id").join(wanted, "cls", "left_semi")
     # Classes of rows without any id cannot be fetched and are linked with nothing.
-    members = materialise(members.join(sets.select("cls"), "cls", "left_semi"), "members")
+    sets = materialise(exact_sets(df, known, n, key, text), "sets")
+    members = members.join(firsts.select("cls"), "cls", "left_semi")
+    close = tested(pairs, sets, p, q)
     repeated = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z")
     same_id = named.join(repeated, "doc_id").where("cls > a").select("a", F.col("cls").alias("b"))
-    met = materialise(differences(group_around_pivots(members.select("sig", "cls").distinct()), sets), "differences")
+    met = materialise(differences(group_around_pivots(members), sets), "differences")
     around = materialise(around_consensus(met, sets, p, q), "consensus")
     best = around.groupBy("c").agg(F.max_by("x", F.struct("slack", "x")).alias("best"), F.max("slack").alias("most"))
     around = around.join(best, "c")
     star = around.where("x <> best and slack + most >= 0").select(F.col("best").alias("a"), F.col("x").alias("b"))
-    links = materialise(star.union(same_id.select("a", "b")).distinct(), "links")
+    links = materialise(star.union(close).union(same_id.select("a", "b")).distinct(), "links")
     labels = components(links)
     placed = around.join(labels.toDF("x", "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
     more = materialise(tested(untested(placed, p, q), sets, p, q), "more-links")
