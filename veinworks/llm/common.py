@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,12 +39,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in
-    committed files, so a lost executor costs a re-read, not a recompute."""
+    committed files, so a lost executor costs a re-read, not a recompute. Shuffle
+    files of finished steps go when the driver's JVM collects what refers to
+    them; it is asked to, or they would fill the executors' disks."""
     path = new_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,8 @@ leave as one, with the batch's other members beside it, so a hot signature sends
 one entry a batch. Classes that share a signature are candidates, and links are
 checked on the exact sets. Only components are wanted, so pairs within a bucket
 of any size are never all formed: up to `SMALL_BUCKET` classes they are, thinned
-by sketches that bound the difference from below. Elsewhere a class meets the most central class of its buckets
+by sketches that bound the difference from below, and by the same sketches those
+of up to `MIDDLE_BUCKET` are split first. In larger ones a class meets the most central class of its buckets
 (its pivot) and is known from then on by what it differs in from the pivot's
 group at large. Members near that consensus are linked by their distances from
 it; a member that is not can only be linked to one that shares some of its
@@ -45,9 +46,14 @@ from .common import materialise, sized_partitions, slices, text_bytes
 U = np.uint64
 _M1, _M2, _BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 PARTS, LEFT_OUT = 3, 1
-CELLS = 128
+CELLS = 512
+#: A cell's count takes half a byte.
+MOST_IN_CELL = 15
 #: Buckets of up to so many classes form all their pairs, which sketches thin out.
 SMALL_BUCKET = 8
+#: Those of up to so many are split within a task into what sketches let belong
+#: together; most crowded buckets only share a few frequent n-grams.
+MIDDLE_BUCKET = 512
 SPARE, SPARE_FROM = 2, 16
 
 
@@ -200,12 +206,19 @@ def class_hashes(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def sketches(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How many elements of each set fall into each of CELLS cells (up to 255). The
-    cells' differences sum to no more than what two sets differ in."""
+    """How many elements of each set fall into each of CELLS cells (up to
+    MOST_IN_CELL), two cells a byte. The cells' differences sum to no more than
+    what two sets differ in."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     cell = (mix(elements + _BASE) >> U(33)).astype(np.int64) % CELLS
     counts = np.bincount(owner * CELLS + cell, minlength=len(sizes) * CELLS)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(len(sizes), CELLS)
+    half = np.minimum(counts, MOST_IN_CELL).astype(np.uint8).reshape(len(sizes), CELLS // 2, 2)
+    return half[:, :, 0] << 4 | half[:, :, 1]
+
+
+def cells_of(column: pa.Array) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS // 2)
+    return np.concatenate([packed >> 4, packed & 15], axis=1).astype(np.int8)
 
 
 def classify(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
@@ -363,8 +376,7 @@ def near_pairs(members: DataFrame, small: DataFrame, firsts: DataFrame, p: int,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = lambda c, b=batch: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64)
-            apart = np.abs(cells("left") - cells("right")).sum(axis=1)
+            apart = np.abs(cells_of(batch.column("left")) - cells_of(batch.column("right"))).sum(axis=1, dtype=np.int64)
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             keep = pa.array((q + p) * apart <= (q - p) * total)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
@@ -372,6 +384,48 @@ def near_pairs(members: DataFrame, small: DataFrame, firsts: DataFrame, p: int,
     return rows.mapInArrow(run, "a long, b long")
 
 
+def refined(members: DataFrame, firsts: DataFrame, p: int, q: int, n_parts: int) -> DataFrame:
+    """(sig, cls) of middle-sized buckets, split into the components of "their
+    sketches do not rule a link out"; classes on their own go."""
+    rows = members.join(firsts.select("cls", "size", "sketch"), "cls").select("sig", "cls", "size", "sketch")
+    rows = rows.repartition(n_parts, "sig").sortWithinPartitions("sig", "cls")
+
+    def split(sig: int, cls: np.ndarray, size: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.zeros((len(cls), len(cls)), np.int32)
+        for i in range(0, len(cls), 16):
+            apart[i : i + 16] = np.abs(cells[i : i + 16, None, :] - cells[None]).sum(axis=2, dtype=np.int32)
+        near = (q + p) * apart <= (q - p) * (size[:, None] + size[None])
+        label = np.arange(len(cls))
+        while True:
+            low = np.where(near, label[None], len(cls)).min(axis=1)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        many = np.bincount(label, minlength=len(cls))[label] > 1
+        return mix(np.full(int(many.sum()), sig, np.int64).view(U) + (label[many].astype(U) + U(1)) * _BASE).view(np.int64), cls[many]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[np.ndarray] = []  # of the bucket that may go on in the next batch
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column("sig").to_numpy(), batch.column("cls").to_numpy(), batch.column("size").to_numpy(), cells_of(batch.column("sketch"))]
+            if left:
+                own = [np.concatenate([a, b]) for a, b in zip(left, own, strict=True)]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(own[0])) + 1, [len(own[0])]])
+            out = [split(int(own[0][a]), own[1][a:b], own[2][a:b], own[3][a:b]) for a, b in zip(cuts[:-2], cuts[1:-1], strict=True)]
+            left = [x[cuts[-2] :] for x in own]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1)], names=["sig", "cls"])
+        if left:
+            last = split(int(left[0][0]), *left[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["sig", "cls"])
+
+    return rows.mapInArrow(run, "sig long, cls long")
+
+
 def group_around_pivots(members: DataFrame) -> DataFrame:
     """(c, x, m): every class x with each pivot c of its buckets, and how many
     classes meet there. A bucket's pivot is its most central class: the one whose
@@ -450,14 +504,22 @@ def join_components(df: DataFrame, n: int = 3, p: int = 90, q: int = 100, key: s
     named = docs.where("cls is not null and doc_id is not null")
     firsts = materialise(named.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch")), "firsts")
     full = every.groupBy("sig").agg(F.count("*").alias("n"))
-    pairs = materialise(near_pairs(every, full.where(f"n <= {SMALL_BUCKET}").select("sig"), firsts, p, q), "near")
-    members = materialise(every.join(full.where(f"n > {SMALL_BUCKET}").select("sig"), "sig", "left_semi"), "crowded")
+    small = full.where(f"n <= {SMALL_BUCKET}").select("sig")
+    middle = every.join(full.where(f"n > {SMALL_BUCKET} and n <= {MIDDLE_BUCKET}").select("sig"), "sig", "left_semi")
+    large = every.join(full.where(f"n > {MIDDLE_BUCKET}").select("sig"), "sig", "left_semi")
+    middle = materialise(refined(middle, firsts, p, q, n_parts), "refined")
+    left = middle.groupBy("sig").agg(F.count("*").alias("n"))
+    pairs = near_pairs(every, small, firsts, p, q).union(near_pairs(middle, left.where(f"n <= {SMALL_BUCKET}").select("sig"), firsts, p, q))
+    pairs = materialise(pairs.distinct(), "near")
+    members = materialise(middle.join(left.where(f"n > {SMALL_BUCKET}").select("sig"), "sig", "left_semi").union(large), "crowded")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(members.select("cls")).distinct()
     known = firsts.select("cls", "doc_id").join(wanted, "cls", "left_semi")
     # Classes of rows without any id cannot be fetched and are linked with nothing.
     sets = materialise(exact_sets(df, known, n, key, text), "sets")
     members = members.join(firsts.select("cls"), "cls", "left_semi")
-    close = tested(pairs, sets, p, q)
+    # Each class first meets one partner; other pairs wait for what that joins.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    close = tested(first, sets, p, q)
     repeated = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z")
     same_id = named.join(repeated, "doc_id").where("cls > a").select("a", F.col("cls").alias("b"))
     met = materialise(differences(group_around_pivots(members), sets), "differences")
@@ -468,7 +530,11 @@ def join_components(df: DataFrame, n: int = 3, p: int = 90, q: int = 100, key: s
     links = materialise(star.union(close).union(same_id.select("a", "b")).distinct(), "links")
     labels = components(links)
     placed = around.join(labels.toDF("x", "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-    more = materialise(tested(untested(placed, p, q), sets, p, q), "more-links")
+    known_label = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
+    waiting = pairs.join(known_label("a", "la"), "a", "left").join(known_label("b", "lb"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    waiting = waiting.join(first, ["a", "b"], "left_anti")
+    todo = materialise(untested(placed, p, q).union(waiting).distinct(), "pairs")
+    more = materialise(tested(todo, sets, p, q), "more-links")
     if more.limit(1).count():
         labels = components(links.union(more))
     lowest = firsts.join(labels.toDF("cls", "label"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
