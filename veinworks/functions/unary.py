@@ -19,7 +19,8 @@ def op_id(name: str) -> int:
 
 
 def clamp(c: Column, limit: float) -> Column:
-    return F.least(F.greatest(c, F.lit(-limit)), F.lit(limit))
+    """Within the limits; null and NaN stay (least and greatest would not let them)."""
+    return F.when(F.isnan(c), c).when(c > limit, F.lit(limit)).when(c < -limit, F.lit(-limit)).otherwise(c)
 
 
 def off_zero(c: Column) -> Column:
