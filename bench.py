@@ -22,13 +22,13 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 def grid300(spark):
     """300 candidates over lineitem, five folds, in one pass."""
     grid = list(plans.grid(catalogue.FEATURES, [IDENTITY, LOG, SQRT, SQUARE, TANH], [0, 1]))
-    return scoring.fold_sums(catalogue.lineitem(spark, SF_DIR), grid, catalogue.CHARGE, folds.fold_of(F.col("l_orderkey"), 5, 42), "arrow")
+    return scoring.fold_sums(catalogue.lineitem(spark, SF_DIR), grid, F.col("charge"), folds.fold_of(F.col("l_orderkey"), 5, 42), "arrow")
 
 
 def verify50(spark):
     """Five-fold verification of 50 candidates."""
     grid = list(plans.grid(catalogue.FEATURES, [IDENTITY, LOG, SQRT, SQUARE, TANH], [0, 1]))[:50]
-    return search.verify(catalogue.lineitem(spark, SF_DIR), grid, catalogue.CHARGE, "l_orderkey", catalogue._S_CONFIG, "arrow")
+    return search.verify(catalogue.lineitem(spark, SF_DIR), grid, F.col("charge"), "l_orderkey", catalogue._S_CONFIG, "arrow")
 
 
 def permute25x50(spark):

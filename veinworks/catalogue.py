@@ -24,7 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-CHARGE = F.expr("l_extendedprice * (1 - l_discount) * (1 + l_tax)")
 CHARGE_SQL = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
 WINDOWS = [1, 3, 7, 14, 30]
 
@@ -61,7 +60,7 @@ def q(sql: str, digits: int = 6) -> str:
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", *FEATURES).withColumn("charge", CHARGE)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", *FEATURES).withColumn("charge", F.expr(CHARGE_SQL))
 
 
 LINEITEM_SQL = f"SELECT l_orderkey, {', '.join(FEATURES)}, {CHARGE_SQL} AS charge FROM lineitem"
@@ -410,7 +409,10 @@ def verify_folds(spark, sf_dir):
 # --- bootstrap, permutations, decision --------------------------------------
 
 _E_CONFIG = EngineConfig(metric_names=("pearson", "r2"), num_repeats=3, permutation_tests=5, permutation_p_threshold=0.2)
-_E_COLUMNS = {str(i): F.col(f"f{i}") for i in range(3)}
+
+
+def _e_columns() -> dict[str, Column]:
+    return {str(i): F.col(f"f{i}") for i in range(3)}
 
 
 def _weight_sql(repeat: int, seed: int) -> str:
@@ -424,7 +426,7 @@ _BOOT_R = f"SELECT split_part(c, '#', 1) AS candidate, pearson FROM ({_R_BY.form
 
 @register(union([f"SELECT candidate, '{m}' AS metric, {q(f'avg({v})')} AS mean, {q(f'stddev_pop({v})')} AS std FROM ({_BOOT_R}) GROUP BY candidate" for m, v in (("pearson", "pearson"), ("r2", "pearson * pearson"))]))
 def bootstrap_stability(spark, sf_dir):
-    out = engine.Engine(_E_CONFIG).stability(signals(spark, sf_dir), _E_COLUMNS, "y", "event_id")
+    out = engine.Engine(_E_CONFIG).stability(signals(spark, sf_dir), _e_columns(), "y", "event_id")
     return out.select("candidate", "metric", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"))
 
 
@@ -438,8 +440,8 @@ _P_VALUES = union([f"SELECT candidate, '{m}' AS metric, (count(*) FILTER ({hit})
 def _p_values(spark, sf_dir) -> tuple[engine.Engine, DataFrame, DataFrame, DataFrame]:
     own = engine.Engine(_E_CONFIG)
     df = signals(spark, sf_dir)
-    actual = own.score(df, _E_COLUMNS, "y")
-    return own, df, actual, own.permutations(df, _E_COLUMNS, "y", "event_id", actual)
+    actual = own.score(df, _e_columns(), "y")
+    return own, df, actual, own.permutations(df, _e_columns(), "y", "event_id", actual)
 
 
 @register(f"SELECT candidate, metric, {q('p_value')} AS p_value FROM ({_P_VALUES})")
@@ -450,7 +452,7 @@ def permutation_pvalues(spark, sf_dir):
 @register(f"SELECT bool_or(p_value <= 0.2 AND std <= 0.1) AS signal FROM ({_P_VALUES}) JOIN ({SQL['bootstrap_stability']}) USING (candidate, metric)")
 def decision(spark, sf_dir):
     own, df, actual, p = _p_values(spark, sf_dir)
-    found = own.decide(actual, own.stability(df, _E_COLUMNS, "y", "event_id"), p)
+    found = own.decide(actual, own.stability(df, _e_columns(), "y", "event_id"), p)
     return spark.createDataFrame([(found.signal,)], "signal boolean")
 
 
