@@ -223,7 +223,7 @@ def predict(df: DataFrame, network: Network | None, text: str = "text", outputs:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 1 << 20):
             texts = batch.column(text).to_pylist()
             labels, scores, agree = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if net is not None:

@@ -194,7 +194,7 @@ def score(df: DataFrame, model: Model, text: str = "text", output: str = "score"
     schema = StructType([*rows.schema.fields]).add(output, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 1 << 20):
             scores = held.value.scores(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*kept, output])
 
