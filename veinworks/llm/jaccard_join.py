@@ -46,9 +46,10 @@ from .common import materialise, sized_partitions, slices, text_bytes
 U = np.uint64
 _M1, _M2, _BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 PARTS, LEFT_OUT = 3, 1
-CELLS = 512
-#: A cell's count takes half a byte.
-MOST_IN_CELL = 15
+#: Cells of a set's sketch, and what a cell's half-byte holds; sets over LONG_SET
+#: have a byte each for four times as many.
+CELLS, MOST_IN_CELL = 512, 15
+LONG_SET, LONG_CELLS = 2048, 2048
 #: Buckets of up to so many classes form all their pairs, which sketches thin out.
 SMALL_BUCKET = 8
 #: Those of up to so many are split within a task into what sketches let belong
@@ -205,20 +206,32 @@ def class_hashes(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, h, U(0)).view(np.int64)
 
 
-def sketches(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How many elements of each set fall into each of CELLS cells (up to
-    MOST_IN_CELL), two cells a byte. The cells' differences sum to no more than
-    what two sets differ in."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    cell = (mix(elements + _BASE) >> U(33)).astype(np.int64) % CELLS
-    counts = np.bincount(owner * CELLS + cell, minlength=len(sizes) * CELLS)
-    half = np.minimum(counts, MOST_IN_CELL).astype(np.uint8).reshape(len(sizes), CELLS // 2, 2)
-    return half[:, :, 0] << 4 | half[:, :, 1]
-
-
-def cells_of(column: pa.Array) -> np.ndarray:
-    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS // 2)
-    return np.concatenate([packed >> 4, packed & 15], axis=1).astype(np.int8)
+def sketches(elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """How many elements of each set fall into each cell, up to what a cell holds.
+    The cells' differences sum to no more than what two sets differ in."""
+    cell = (mix(elements + _BASE) >> U(33)).astype(np.int64) % LONG_CELLS
+    out, end = [], np.cumsum(sizes)
+    for a, b in zip((end - sizes).tolist(), end.tolist(), strict=True):
+        if b - a > LONG_SET:
+            out.append(np.minimum(np.bincount(cell[a:b], minlength=LONG_CELLS), 255).astype(np.uint8).tobytes())
+        else:
+            half = np.minimum(np.bincount(cell[a:b] % CELLS, minlength=CELLS), MOST_IN_CELL).astype(np.uint8)
+            out.append((half[0::2] << 4 | half[1::2]).tobytes())
+    return out
+
+
+def cells_of(sketches: list[bytes]) -> np.ndarray:
+    """Their cells, in the form that all of them have: the long one, or the short."""
+    if sketches and all(len(x) == LONG_CELLS for x in sketches):
+        return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, LONG_CELLS).astype(np.int16)
+    out = np.empty((len(sketches), CELLS), np.int16)
+    for i, x in enumerate(sketches):
+        packed = np.frombuffer(x, np.uint8)
+        if len(x) == LONG_CELLS:
+            out[i] = np.minimum(packed.reshape(-1, CELLS).sum(axis=0, dtype=np.int64), MOST_IN_CELL)
+        else:
+            out[i, 0::2], out[i, 1::2] = packed >> 4, packed & 15
+    return out
 
 
 def classify(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
@@ -228,7 +241,7 @@ def classify(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             elements, sizes = shingle_sets(batch.column("text"), n)
-            cells = pa.array([x.tobytes() for x in sketches(elements, sizes)], pa.binary())
+            cells = pa.array(sketches(elements, sizes), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(class_hashes(elements, sizes), mask=sizes == 0), cells], names=["doc_id", "n_shingles", "cls", "sketch"])
 
     return rows.mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
@@ -376,7 +389,8 @@ def near_pairs(members: DataFrame, small: DataFrame, firsts: DataFrame, p: int,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            apart = np.abs(cells_of(batch.column("left")) - cells_of(batch.column("right"))).sum(axis=1, dtype=np.int64)
+            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+            apart = np.array([np.abs(np.subtract(*cells_of([x, y]))).sum() for x, y in zip(left, right, strict=True)], np.int64)
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             keep = pa.array((q + p) * apart <= (q - p) * total)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
@@ -390,7 +404,8 @@ def refined(members: DataFrame, firsts: DataFrame, p: int, q: int, n_parts: int)
     rows = members.join(firsts.select("cls", "size", "sketch"), "cls").select("sig", "cls", "size", "sketch")
     rows = rows.repartition(n_parts, "sig").sortWithinPartitions("sig", "cls")
 
-    def split(sig: int, cls: np.ndarray, size: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def split(sig: int, cls: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cells = cells_of(sketch.tolist())
         apart = np.zeros((len(cls), len(cls)), np.int32)
         for i in range(0, len(cls), 16):
             apart[i : i + 16] = np.abs(cells[i : i + 16, None, :] - cells[None]).sum(axis=2, dtype=np.int32)
@@ -411,7 +426,7 @@ def refined(members: DataFrame, firsts: DataFrame, p: int, q: int, n_parts: int)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column("sig").to_numpy(), batch.column("cls").to_numpy(), batch.column("size").to_numpy(), cells_of(batch.column("sketch"))]
+            own = [batch.column("sig").to_numpy(), batch.column("cls").to_numpy(), batch.column("size").to_numpy(), np.array(batch.column("sketch").to_pylist(), dtype=object)]
             if left:
                 own = [np.concatenate([a, b]) for a, b in zip(left, own, strict=True)]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(own[0])) + 1, [len(own[0])]])
