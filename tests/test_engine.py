@@ -134,6 +134,19 @@ def test_permutations_are_permutations(spark):
     assert folds.sample(df, "id", 500, 1).count() == 200
 
 
+def test_other_targets_in_the_same_pass(spark):
+    df, _ = planted(spark, n=300)
+    df = df.withColumn("f0", F.when(F.col("row_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("f0")))
+    rows = folds.permuted_targets(df, "row_id", "y", [3, 4], ["f0", "f1"])
+    grid = [Candidate(("f0", "f1"), (0, 1), (0,)), Candidate(("f1",), (6,))]
+    got = {(r["candidate"], r["draw"]): r["pearson"] for r in scoring.pearson_scores(scoring.fold_sums(rows, grid, F.col("y"), backend="arrow", targets=F.col("permuted"))).collect()}
+    assert len(got) == 6
+    for k in range(2):
+        alone = rows.withColumn("y", F.col("permuted")[k])
+        for r in scoring.pearson_scores(scoring.fold_sums(alone, grid, F.col("y"), backend="native")).collect():
+            assert math.isclose(r["pearson"], got[r["candidate"], k + 1], rel_tol=1e-9)
+
+
 def test_plans():
     assert len(plans.window_pairs(5, 3)) == 7 and len(plans.window_pairs(5, 5)) == 10
     assert plans.grid_size(4, 5, 2) == len(list(plans.grid("abcd", range(5), range(2)))) == 300

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import running_total
+from ..storage import running_totals
 from .folds import hash_order
 
 #: Between the seeds of permutations.
@@ -29,20 +29,15 @@ class OrderedTargetEncoder:
         return F.when(below > 0, (total + F.lit(float(self.prior)) * weight) / F.when(below > 0, below).otherwise(1.0)).otherwise(F.lit(float(self.prior)))
 
     def encode(self, df: DataFrame, category: str, target: str, row_id: str, output: str = "encoded") -> DataFrame:
-        """``df`` with the mean encoding over the permutations. A hot category is
-        split over ranges of the order (see `running_total`)."""
-        rows = df
-        parts = []
-        for p in range(self.n_permutations):
-            order = f"__order{p}"
-            rows = rows.withColumn(order, hash_order(F.col(row_id), self.seed + p * STRIDE))
-            value, one = F.col(target).cast("double"), F.lit(1).cast("long")
-            rows = running_total(rows, [order, row_id], F.coalesce(value, F.lit(0.0)), f"__sum{p}", within=(category,))
-            rows = running_total(rows, [order, row_id], F.when(value.isNotNull(), one).otherwise(0), f"__cnt{p}", within=(category,))
-            own = F.coalesce(value, F.lit(0.0))
-            parts.append(self.smoothed(F.col(f"__sum{p}") - own, F.col(f"__cnt{p}") - F.when(value.isNotNull(), 1).otherwise(0)))
-        mean = sum(parts[1:], parts[0]) / len(parts)
-        return rows.withColumn(output, mean).drop(*[f"__{k}{p}" for k in ("order", "sum", "cnt") for p in range(self.n_permutations)])
+        """``df`` with the mean encoding over the permutations; ``row_id`` is unique.
+        All permutations are summed in one pass over rows x permutations, and a hot
+        category is split over ranges of the order (see `running_totals`)."""
+        value = F.col(target).cast("double")
+        orders = F.array(*[F.struct(F.lit(p).alias("p"), hash_order(F.col(row_id), self.seed + p * STRIDE).alias("h")) for p in range(self.n_permutations)])
+        rows = df.select(F.col(row_id).alias("__id"), F.col(category).alias("__cat"), F.coalesce(value, F.lit(0.0)).alias("__v"), F.when(value.isNotNull(), 1).otherwise(0).cast("long").alias("__n"), F.explode(orders).alias("__o")).select("__id", "__cat", "__v", "__n", "__o.p", "__o.h")
+        summed = running_totals(rows, ["h", "__id"], {"__total": F.col("__v"), "__count": F.col("__n")}, within=("p", "__cat"))
+        means = summed.groupBy("__id").agg(F.avg(self.smoothed(F.col("__total") - F.col("__v"), F.col("__count") - F.col("__n"))).alias(output))
+        return df.join(means, df[row_id] == means["__id"], "left").drop("__id")
 
     def fit(self, df: DataFrame, category: str, target: str) -> DataFrame:
         """(category, total, count) over all rows."""

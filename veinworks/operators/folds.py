@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import dense_index
+from ..storage import dense_index, running_total
 
 #: Fixed values of the linear congruential generator.
 FACTOR, SHIFT, MODULUS = 1103515245, 12345, 2**31
@@ -54,12 +54,12 @@ def permuted_targets(df: DataFrame, row_id: str, y: str, seeds: Sequence[int], k
     another order. Rows are numbered by id and by hash order, over ranges, and
     each number's target meets its row in one shuffle for all seeds."""
     base = dense_index(df.select(row_id, *keep, F.col(y).cast("double").alias("y")), [row_id], "place")
-    moved = None
-    for k, seed in enumerate(seeds):
-        one = dense_index(base.select(F.col(row_id).alias("__id"), "y").withColumn("__h", hash_order(F.col("__id"), seed)), ["__h", "__id"], "place").select("place", F.lit(k).alias("k"), F.col("y").alias("py"))
-        moved = one if moved is None else moved.unionByName(one)
-    if moved is None:
+    if not seeds:
         return base.select(row_id, *keep, "y", F.array().cast("array<double>").alias("permuted"))
+    # All seeds' orders are numbered in one pass over rows x seeds.
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), hash_order(F.col("__id"), s).alias("h")) for k, s in enumerate(seeds)]))
+    spread = df.select(F.col(row_id).alias("__id"), F.col(y).cast("double").alias("py")).select("__id", "py", every.alias("d")).select("__id", "py", "d.k", "d.h")
+    moved = running_total(spread, ["h", "__id"], F.lit(1).cast("long"), "place", within=("k",)).select((F.col("place") - 1).alias("place"), "k", "py")
     held = moved.groupBy("place").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "py"))), lambda s: s["py"]).alias("permuted"))
     return base.join(held, "place").select(row_id, *keep, "y", "permuted")
 

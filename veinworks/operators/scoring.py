@@ -114,9 +114,11 @@ def _arrow(df: DataFrame, candidates: Sequence[Candidate], y: Column, fold: Colu
             xs = [read(f"x{i}") for i in range(len(names))]
             target, folds = read("y"), batch.column("fold").to_numpy(zero_copy_only=False)
             draws = [(target, None), *[(target, read(f"w{i}")) for i in range(n_weights)]]
-            if "t" in batch.schema.names:
-                many = np.array(batch.column("t").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-                draws += [(many[:, j], None) for j in range(many.shape[1])]
+            others = None
+            if "t" in batch.schema.names and batch.num_rows:
+                others = batch.column("t").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                if np.isnan(others).any():
+                    draws, others = draws + [(others[:, j], None) for j in range(others.shape[1])], None
             made: dict[tuple[int, int], np.ndarray] = {}
             with np.errstate(all="ignore"):
                 for number, (columns, ops, kinds) in enumerate(plan):
@@ -138,6 +140,15 @@ def _arrow(df: DataFrame, candidates: Sequence[Candidate], y: Column, fold: Colu
                             sums = np.array([len(x) if w is None else w[ok].sum(), u.sum(), v.sum(), u @ x, v @ z, u @ z])
                             key = (number, int(own), d)
                             held[key] = held[key] + sums if key in held else sums
+                        if others is not None:
+                            # All other targets at once, as one matrix product.
+                            ok = here & ~np.isnan(value)
+                            x, t = value[ok], others if ok.all() else others[ok]
+                            n, sx, sxx = len(x), x.sum(), x @ x
+                            for j, (sy, syy, sxy) in enumerate(zip(t.sum(axis=0), np.einsum("ij,ij->j", t, t), x @ t, strict=True)):
+                                key = (number, int(own), len(draws) + j)
+                                sums = np.array([n, sx, sy, sxx, syy, sxy])
+                                held[key] = held[key] + sums if key in held else sums
         if held:
             keys = np.array(list(held))
             sums = np.array(list(held.values()))

@@ -41,20 +41,26 @@ def ranges_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     return floor if size > 10**15 else max(floor, min(MAX_RANGES, size // bytes_each + 1))
 
 
-def running_total(df: DataFrame, order: list[str | Column], amount: Column, name: str, within: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with the sum of ``amount`` over the rows up to and with each, in
+def running_totals(df: DataFrame, order: list[str | Column], amounts: dict[str, Column], within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with sums of the named amounts over the rows up to and with each, in
     ``order`` (which must be total), in each group of ``within``: ranged by group
     and order, so that a hot group is split; then offsets of ranges are added."""
     n = ranges_for(df)
-    rows = df.withColumn("__amount", amount).repartitionByRange(n, *within, *order).withColumn("__range", F.spark_partition_id())
+    rows = df.withColumns({f"__amount_{k}": c for k, c in amounts.items()})
+    rows = rows.repartitionByRange(n, *within, *order).withColumn("__range", F.spark_partition_id())
     local = Window.partitionBy("__range", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = written(rows.withColumn("__local", F.sum("__amount").over(local)), "running")
+    rows = written(rows.withColumns({f"__local_{k}": F.sum(f"__amount_{k}").over(local) for k in amounts}), "running")
     # One row for each range and group in it.
-    totals = rows.groupBy("__range", *within).agg(F.sum("__amount").alias("__sum"))
+    totals = rows.groupBy("__range", *within).agg(*[F.sum(f"__amount_{k}").alias(f"__sum_{k}") for k in amounts])
     before = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__range", *within, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    offsets = totals.select("__range", *within, *[F.coalesce(F.sum(f"__sum_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in amounts])
     joined = rows.join(offsets, ["__range", *within])
-    return joined.withColumn(name, F.col("__local") + F.col("__before")).drop("__range", "__local", "__before", "__amount")
+    made = joined.withColumns({k: F.col(f"__local_{k}") + F.col(f"__before_{k}") for k in amounts})
+    return made.drop("__range", *[f"__{x}_{k}" for x in ("local", "before", "amount") for k in amounts])
+
+
+def running_total(df: DataFrame, order: list[str | Column], amount: Column, name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    return running_totals(df, order, {name: amount}, within)
 
 
 def dense_index(df: DataFrame, order: list[str | Column], name: str = "row_index") -> DataFrame:
