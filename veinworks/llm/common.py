@@ -57,6 +57,17 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 500
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python in batches of TEXT_ROWS: the default of
+    10,000 rows would hold tens of megabytes in each worker several times over."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def doc_remainder(modulus: int, doc_id: str | Column = "doc_id") -> Column:
     """crc32(doc_id as text) mod ``modulus``; a null id counts as 0 (held out)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -74,7 +85,7 @@ def sized_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     return floor if estimate > 10**15 else max(floor, min(200_000, estimate // bytes_each + 1))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``max_bytes`` in each, or
     one row that is longer."""
     for batch in batches:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, sized_partitions, slices, text_bytes
+from .common import materialise, sized_partitions, slices, text_bytes, whole_texts
 
 U = np.uint64
 _M1, _M2, _BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -84,7 +84,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(1 << 20, 1 << (n - 1).bit_length())
         _powers[:] = [np.multiply.accumulate(np.concatenate([[U(1)], np.full(size - 1, b, U)])) for b in (_BASE, _tables()[2][0])]
     return _powers[0][:n], _powers[1][:n]
 
@@ -512,6 +512,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join_components(df: DataFrame, n: int = 3, p: int = 90, q: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
+    df = whole_texts(df)
     docs = materialise(classify(df, n, key, text), "classes")
     # About one signature entry for each n-gram, some ten bytes of text apart.
     n_parts = sized_partitions(df.select(text), 48 << 20)

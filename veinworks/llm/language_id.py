@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, slices
+from .common import doc_remainder, slices, whole_texts
 
 WINDOW = 128
 HIDDEN = 12
@@ -216,7 +216,7 @@ def predict(df: DataFrame, network: Network | None, text: str = "text", outputs:
     positions whose own label it is."""
     held = df.sparkSession.sparkContext.broadcast(network)
     kept = [c for c in df.columns if c not in outputs]
-    rows = df.select(*kept)
+    rows = whole_texts(df).select(*kept)
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*rows.schema.fields]).add(outputs[0], StringType()).add(outputs[1], DoubleType()).add(outputs[2], DoubleType())

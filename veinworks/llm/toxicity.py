@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, materialise, slices
+from .common import doc_remainder, materialise, slices, whole_texts
 
 ORDERS = (3, 5, 7)
 MAX_ROWS = 2500
@@ -188,7 +188,7 @@ def score(df: DataFrame, model: Model, text: str = "text", output: str = "score"
     """``df`` with a score of 0 to 1 for every row. Narrow: no shuffle."""
     held = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c != output]
-    rows = df.select(*kept)
+    rows = whole_texts(df).select(*kept)
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType([*rows.schema.fields]).add(output, DoubleType())
