@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_remainder, materialise, sized_partitions, slices, text_bytes
+from .common import doc_remainder, materialise, sized_partitions, slices, text_bytes, whole_texts
 from .jaccard_join import U, mix, word_hashes
 
 SHARE = 1e-5
@@ -172,7 +172,7 @@ def restore(answers: list, part: np.ndarray) -> np.ndarray:
 def score(df: DataFrame, modulus: int = 7, remainder: int = 2, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score. Rows whose crc32 remainder is ``remainder`` are not learned from."""
-    spark = df.sparkSession
+    spark = whole_texts(df).sparkSession
     n_parts = sized_partitions(df.select(text), 24 << 20)
     blocks = materialise(make_blocks(df, modulus, remainder, key, text), "blocks")
     facts = blocks.agg(F.sum("n_train").alias("n"), F.count("*").alias("blocks"), F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + F.when(h, 0).otherwise(1))).alias("texts")).first()
