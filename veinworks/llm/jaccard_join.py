@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, sized_partitions, slices, text_bytes, whole_texts
+from .pretokens import forget
 
 U = np.uint64
 _M1, _M2, _BASE = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -239,6 +240,7 @@ def classify(df: DataFrame, n: int, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, "text"):
             elements, sizes = shingle_sets(batch.column("text"), n)
             cells = pa.array(sketches(elements, sizes), pa.binary())
@@ -252,6 +254,7 @@ def buckets(df: DataFrame, n: int, p: int, q: int, text: str, n_parts: int) -> D
     rows = df.select(F.col(text).cast("string").alias("text")).where("text is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         bands = Bands(p, q)
         for number, batch in enumerate(slices(batches, "text")):
             elements, sizes = shingle_sets(batch.column("text"), n)

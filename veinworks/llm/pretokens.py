@@ -91,3 +91,10 @@ def encoder(path: str, kind: str) -> MemoEncoder:
     the collector may look at them less often."""
     gc.set_threshold(200_000, 20, 100)
     return MemoEncoder(path, kind)
+
+
+def forget() -> None:
+    """Give a reused worker's remembered words back before other memory-heavy work."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
