@@ -76,3 +76,14 @@ def test_empty_and_nothing_to_learn(spark):
     df = spark.createDataFrame([(held, "a b")], "doc_id long, text string")
     r = backoff_lm.score(df).first()
     assert r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0.0
+
+
+def test_arcs_of_rare_words_in_a_large_corpus(spark):
+    """Pairs seen twice have arcs, however many tokens stand beside them."""
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, " ".join(["x"] * 10_000)) for i in train[:30]] + [(train[30], "rare pair of words"), (train[31], "rare pair of words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = backoff_lm.score(df).collect()
+    check(got, rows, 0)
+    rare = next(r for r in got if r.doc_id == train[30])
+    assert rare.train_tokens > 300_000 and rare.score > rare.base_score + 10
