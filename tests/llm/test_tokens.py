@@ -145,3 +145,10 @@ def test_plan(lengths):
             used[n] += count * c
     assert used == Counter(lengths)
     assert plan.sequences <= first_fit(lengths, 60) + max(1, len(lengths) // 25)
+
+
+def test_plan_uses_every_exact_combination():
+    """A hot pair of lengths whose complements are many and rare: all are taken."""
+    rare = [y for y in range(101, 150) if y != 125]
+    plan = packing.make_plan({450: 24, 300: 24} | dict.fromkeys(rare, 1), 1000)
+    assert sum(count for count, gap, _ in plan.groups if gap == 0) == plan.sequences == 24

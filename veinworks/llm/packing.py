@@ -110,7 +110,7 @@ def exact_complements(left: np.ndarray, plan: Plan) -> None:
         for x in a.tolist():
             if not left[length]:
                 break
-            for y in pairs(gap - x, x).tolist()[:8]:
+            for y in pairs(gap - x, x).tolist():
                 if not left[length] or not left[x]:
                     break
                 take((length, x, y, gap - x - y))
