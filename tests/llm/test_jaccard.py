@@ -5,7 +5,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import awkward_documents, empty_documents
 from veinworks.llm import jaccard_join
@@ -125,3 +127,14 @@ def test_signatures_lose_no_pair():
                     continue
                 sig, of = jaccard_join.signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([len(a), len(b)]), bands)
                 assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), (p, size, drop)
+
+
+def test_exact_sets_of_repeated_rows(spark):
+    """One row for each class, though equal rows are in different partitions."""
+    texts = [(1, "a b c d e")] * 6 + [(2, "c d e f g")] * 6
+    df = spark.sparkContext.parallelize(texts, 12).toDF("doc_id long, text string")
+    elements, sizes = jaccard_join.shingle_sets(pa.array([texts[0][1], texts[-1][1]]), 3)
+    cls = jaccard_join.class_hashes(elements, sizes).tolist()
+    wanted = spark.createDataFrame([(cls[0], 1), (cls[1], 2)], "cls long, doc_id long")
+    got = jaccard_join.exact_sets(df, F.broadcast(wanted), 3, "doc_id", "text").collect()
+    assert sorted(r.cls for r in got) == sorted(cls) and all(len(r.elements) == 3 * 8 for r in got)

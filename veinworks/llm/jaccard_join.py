@@ -324,12 +324,13 @@ def _members(sig: np.ndarray, cls: np.ndarray, pivot: np.ndarray) -> pa.RecordBa
 
 
 def exact_sets(df: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(cls, elements binary) of the wanted (cls, doc_id)."""
+    """(cls, elements binary) of the wanted (cls, doc_id), a row for each cls: rows
+    of one id can be in several tasks (broadcast joins, split partitions)."""
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows = texts.join(wanted, "doc_id").select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # rows of one id meet in a task
+        done: set[int] = set()  # most repeated rows go before the shuffle
         for batch in slices(batches, "text"):
             elements, sizes = shingle_sets(batch.column("text"), n)
             own = class_hashes(elements, sizes)
@@ -342,7 +343,7 @@ def exact_sets(df: DataFrame, wanted: DataFrame, n: int, key: str, text: str) ->
                     right.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(cls[right]), pa.array([cuts[i].tobytes() for i in right], pa.binary())], names=["cls", "elements"])
 
-    return rows.mapInArrow(run, "cls long, elements binary")
+    return rows.mapInArrow(run, "cls long, elements binary").dropDuplicates(["cls"])
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
