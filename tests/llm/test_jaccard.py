@@ -38,9 +38,9 @@ def brute(rows, n, p, q):
             index.setdefault(x, []).append(i)
     seen = set()
     for own in index.values():
-        for i in own[:200]:
-            for j in own:
-                if i < j and (i, j) not in seen:
+        for at, i in enumerate(own):
+            for j in own[at + 1 :]:
+                if (i, j) not in seen:
                     seen.add((i, j))
                     both = len(sets[i] & sets[j])
                     if q * both >= p * (len(sets[i]) + len(sets[j]) - both):
@@ -99,6 +99,43 @@ def test_chain_of_one_large_family(spark):
     check(spark, rows, 3, 90, 100)
 
 
+def test_crowded_group(spark, monkeypatch):
+    """Near copies that share buckets of hundreds of classes, beside texts that only
+    hold the same passage; groups cut in many pieces."""
+    monkeypatch.setattr(jaccard_join, "MIDDLE_BUCKET", 12)
+    monkeypatch.setattr(jaccard_join, "PIECE", 2000)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        if i % 5 == 0:  # strays, linked to none or to few others
+            own[40:] = [f"s{i // 10}-{j}" if rng.random() < 0.9 else f"o{rng.randrange(10**6)}" for j in range(80)]
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append((i * 7 % 1009, " ".join(own)))
+    for n, p in ((3, 90), (5, 80)):
+        check(spark, rows, n, p, 100)
+
+
+def test_large_bucket(spark):
+    """Buckets past `MIDDLE_BUCKET`, at the default settings."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base + [f"e{rng.randrange(10**6)}" for _ in range(rng.choice((2, 3, 9)))])) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert jaccard_join.buckets(df, 3, 90, 100, "text", 4).select("sig", "cls").distinct().groupBy("sig").count().agg(F.max("count")).first()[0] > jaccard_join.MIDDLE_BUCKET
+    check(spark, rows, 3, 90, 100)
+
+
+def test_rows_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[i : i + 38]) for i in range(3)]
+    rows = [(1, texts[0]), (None, texts[1]), (3, texts[2]), (None, "quite alone here")]
+    assert len({c for _, _, c in brute(rows, 3, 90, 100)}) == 2
+    check(spark, rows, 3, 90, 100)
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert Counter(map(tuple, op10_part_enum(spark, sf_dir).collect())) == brute(rows, 3, 90, 100)

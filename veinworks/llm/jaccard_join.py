@@ -26,9 +26,10 @@ Nothing of all documents comes to the driver; lineage ends in written tables.
 
 Defined cases: null or empty texts and texts without a word have no set and link
 with nothing; fewer words than n make one n-gram; rows of one id are one
-document and their texts' classes count as linked; rows with a null id take the
-component of their class's other rows, or null; a component is named by its
-smallest id; an empty table gives none; other columns are ignored.
+document and their texts' classes count as linked; rows with a null id link like
+others and take their component's name, null where no row of it has an id; a
+component is named by its smallest id; a very long text is one set like any other;
+an empty table gives none; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ SMALL_BUCKET = 8
 #: Those of up to so many are split within a task into what sketches let belong
 #: together; most crowded buckets only share a few frequent n-grams.
 MIDDLE_BUCKET = 512
+#: Elements of a group that meet in one task, about.
+PIECE = 1 << 18
 SPARE, SPARE_FROM = 2, 16
 
 
@@ -325,9 +328,18 @@ def _members(sig: np.ndarray, cls: np.ndarray, pivot: np.ndarray) -> pa.RecordBa
 
 def exact_sets(df: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
     """(cls, elements binary) of the wanted (cls, doc_id), a row for each cls: rows
-    of one id can be in several tasks (broadcast joins, split partitions)."""
-    texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rows = texts.join(wanted, "doc_id").select("cls", "text")
+    of one id can be in several tasks (broadcast joins, split partitions). Classes
+    of rows without an id are found by their content."""
+    texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = texts.join(wanted.where("doc_id is not null"), "doc_id").select("cls", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            elements, sizes = shingle_sets(batch.column("text"), n)
+            yield pa.RecordBatch.from_arrays([pa.array(class_hashes(elements, sizes)), batch.column("text")], names=["cls", "text"])
+
+    nameless = texts.where("doc_id is null").select("text").mapInArrow(hashed, "cls long, text string")
+    rows = rows.unionByName(nameless.join(wanted.where("doc_id is null").select("cls"), "cls"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # most repeated rows go before the shuffle
@@ -458,6 +470,71 @@ def group_around_pivots(members: DataFrame) -> DataFrame:
     return pairs.join(sizes, "c")
 
 
+def in_pieces(rows: DataFrame) -> DataFrame:
+    """(c, i, x, label, m, d) of groups c, each cut by element into pieces i of about
+    PIECE elements, so that a large group meets in many tasks; pieces are sorted
+    together."""
+    total = rows.groupBy("c").agg((F.floor(F.sum(F.size("d")) / PIECE) + 1).alias("r"))
+    piece = lambda e: F.pmod(e, F.col("r"))
+    own = F.when(F.col("r") == 1, F.col("d")).otherwise(F.filter("d", lambda e: piece(e) == F.col("i")))
+    cut = rows.where(F.size("d") > 0).join(total, "c").withColumn("i", F.explode(F.array_distinct(F.transform("d", piece))))
+    cut = cut.withColumn("d", own).select("c", "i", "x", "label", "m", "d")
+    return cut.repartition(sized_partitions(rows), "c", "i").sortWithinPartitions("c", "i")
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(c, m, x, label, element, row of the element) of every piece, as arrays."""
+    left: list[pa.RecordBatch] = []  # of the piece that may go on in the next batch
+    last = None
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple:
+        d = [b.column("d") for b in parts]
+        sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in d])
+        elements = np.concatenate([x.flatten().to_numpy() for x in d])
+        x, label = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in ("x", "label"))
+        return parts[0].column("c")[0].as_py(), parts[0].column("m")[0].as_py(), x, label, elements, np.repeat(np.arange(len(sizes)), sizes)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c, i = batch.column("c").to_numpy(), batch.column("i").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(c) != 0) | (np.diff(i) != 0)) + 1).tolist(), len(c)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if left and last != (c[a], i[a]):
+                yield whole(left)
+                left = []
+            last = (c[a], i[a])
+            left.append(batch.slice(a, b - a))
+    if left:
+        yield whole(left)
+
+
+def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each piece the elements that more than half of the group's members have."""
+    for c, m, _, _, elements, _ in pieces_of(batches):
+        found, n = np.unique(elements, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([found[2 * n > m]], pa.list_(pa.int64()))], names=["c", "e"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each piece's members the elements that members of several labels have, and
+    how many members."""
+    for c, _, x, label, elements, row in pieces_of(batches):
+        _, inverse, n = np.unique(elements, return_inverse=True, return_counts=True)
+        lo, hi = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), np.iinfo(np.int64).min)
+        np.minimum.at(lo, inverse, label[row])
+        np.maximum.at(hi, inverse, label[row])
+        keep = (lo < hi)[inverse]
+        if keep.any():
+            has, at = np.unique(row[keep], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), c)), pa.array(x[has]), _lists(n[inverse][keep], at, len(has)), _lists(elements[keep], at, len(has))], names=["c", "x", "n", "e"])
+
+
 def around_consensus(met: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """(c, x, d, slack, n_diff) of all members of all groups, pivots among them. A
     group's reference is its pivot changed by whatever more than half of the
@@ -466,9 +543,9 @@ def around_consensus(met: DataFrame, sets: DataFrame, p: int, q: int) -> DataFra
     surely linked, for |d1| + |d2| bounds what they differ in."""
     pivots = met.select("c", "m").distinct().join(sets.select(F.col("cls").alias("c"), (F.length("elements") / 8).cast("long").alias("size")), "c")
     every = met.unionByName(pivots.select("c", F.col("c").alias("x"), "m", "size", F.lit(0).cast("long").alias("n_diff"), F.when(F.col("m") > 2, F.array().cast("array<long>")).alias("diff")))
-    counts = met.where("m > 2").select("c", "m", F.explode("diff").alias("e")).groupBy("c", "m", "e").agg(F.count("*").alias("n"))
     # At most twice the mean difference of a group.
-    usual = counts.where("2 * n > m").groupBy("c").agg(F.collect_list("e").alias("h"))
+    pieces = in_pieces(met.where("m > 2").select("c", "x", F.lit(0).cast("long").alias("label"), "m", F.col("diff").alias("d")))
+    usual = pieces.mapInArrow(_common, "c long, e array<long>").groupBy("c").agg(F.flatten(F.collect_list("e")).alias("h"))
     empty = F.array().cast("array<long>")
     with_h = every.join(usual, "c", "left").withColumn("h", F.coalesce("h", empty))
     d = F.when(F.col("m") > 2, F.array_union(F.array_except("diff", "h"), F.array_except("h", "diff")))
@@ -480,19 +557,21 @@ def around_consensus(met: DataFrame, sets: DataFrame, p: int, q: int) -> DataFra
 def untested(placed: DataFrame, p: int, q: int) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, from (c, x, label, d,
     n_diff, slack, most). A stray is short of slack even with the best member, so
-    its links share -(slack1 + slack2) / (2 (q + p)) elements of d at least; then
-    the rarest |d| - (that) + 1 elements of both share one. Rarest-first prefixes
-    are joined, elements of one component left out."""
+    its links share -(slack1 + slack2) / (2 (q + p)) elements of d at least. Elements
+    that one component alone has cannot be shared with another and are left out
+    before anything is exploded; of the n others the rarest n - (that) + 1 of both
+    sides have one in common, and these prefixes are joined."""
     split = placed.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("c")
-    rows = placed.where("d is not null").join(split, "c", "left_semi")
-    cells = rows.select("c", "x", "label", "slack", "most", "n_diff", F.explode("d").alias("e"))
-    counts = cells.groupBy("c", "e").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    w = Window.partitionBy("c", "x").orderBy("n", "e")
-    cells = cells.join(counts, ["c", "e"]).withColumn("turn", F.row_number().over(w)).where("lo < hi")
+    rows = materialise(placed.where("d is not null").join(split, "c", "left_semi").select("c", "x", "label", "slack", "most", "d"), "split-groups")
+    pieces = in_pieces(rows.select("c", "x", "label", F.lit(0).cast("long").alias("m"), "d"))
+    shared = pieces.mapInArrow(_shared, "c long, x long, n array<long>, e array<long>").groupBy("c", "x").agg(F.array_sort(F.arrays_zip(F.flatten(F.collect_list("n")).alias("n"), F.flatten(F.collect_list("e")).alias("e"))).alias("es"))
     step = 2 * (q + p)
-    of_stray = F.ceil(-(F.col("slack") + F.col("most")) / step)
-    of_other = F.ceil((F.col("most") + 1 - F.col("slack")) / step)
-    cells = materialise(cells.where(F.col("turn") <= F.col("n_diff") - F.least(of_stray, of_other) + 1).withColumns({"first": (F.col("slack") + F.col("most") < 0) & (F.col("turn") <= F.col("n_diff") - of_stray + 1), "second": F.col("turn") <= F.col("n_diff") - of_other + 1}), "prefixes")
+    n = F.size("es")
+    first = F.when(F.col("slack") + F.col("most") < 0, n - F.ceil(-(F.col("slack") + F.col("most")) / step) + 1).otherwise(0)
+    second = n - F.ceil((F.col("most") + 1 - F.col("slack")) / step) + 1
+    rows = rows.drop("d").join(shared, ["c", "x"]).withColumns({"first": first, "second": second}).where(F.greatest("first", "second") > 0)
+    cells = rows.select("c", "x", "label", "first", "second", F.posexplode(F.slice("es", F.lit(1), F.greatest("first", "second").cast("int"))).alias("turn", "cell"))
+    cells = materialise(cells.select("c", "x", "label", (F.col("turn") < F.col("first")).alias("first"), (F.col("turn") < F.col("second")).alias("second"), F.col("cell.e").alias("e")), "prefixes")
     left = cells.where("first").select("c", "e", F.col("x").alias("a"), F.col("label").alias("la"))
     right = cells.where("second").select("c", "e", F.col("x").alias("b"), F.col("label").alias("lb"))
     return left.join(right, ["c", "e"]).where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -522,7 +601,7 @@ def join_components(df: DataFrame, n: int = 3, p: int = 90, q: int = 100, key: s
     n_parts = sized_partitions(df.select(text), 48 << 20)
     every = materialise(buckets(df, n, p, q, text, n_parts).select("sig", "cls").distinct(), "buckets")
     named = docs.where("cls is not null and doc_id is not null")
-    firsts = materialise(named.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch")), "firsts")
+    firsts = materialise(docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch")), "firsts")
     full = every.groupBy("sig").agg(F.count("*").alias("n"))
     small = full.where(f"n <= {SMALL_BUCKET}").select("sig")
     middle = every.join(full.where(f"n > {SMALL_BUCKET} and n <= {MIDDLE_BUCKET}").select("sig"), "sig", "left_semi")
@@ -534,9 +613,7 @@ def join_components(df: DataFrame, n: int = 3, p: int = 90, q: int = 100, key: s
     members = materialise(middle.join(left.where(f"n > {SMALL_BUCKET}").select("sig"), "sig", "left_semi").union(large), "crowded")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(members.select("cls")).distinct()
     known = firsts.select("cls", "doc_id").join(wanted, "cls", "left_semi")
-    # Classes of rows without any id cannot be fetched and are linked with nothing.
     sets = materialise(exact_sets(df, known, n, key, text), "sets")
-    members = members.join(firsts.select("cls"), "cls", "left_semi")
     # Each class first meets one partner; other pairs wait for what that joins.
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     close = tested(first, sets, p, q)
