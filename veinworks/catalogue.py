@@ -282,7 +282,8 @@ def rank_avg(spark, sf_dir):
 
 @register(f"SELECT c AS candidate, {q('pearson')} AS spearman FROM ({_R_BY.format(rows=_RANKED.format(rows=_LONG))})")
 def spearman_unary(spark, sf_dir):
-    return metrics.spearman(unary_rows(spark, sf_dir)).select("candidate", r(F.col("spearman")).alias("spearman"))
+    found = metrics.spearman_shared(lineitem(spark, sf_dir), {str(i): F.col(c) for i, c in enumerate(FEATURES)}, F.col("charge"))
+    return found.select("candidate", r(F.col("spearman")).alias("spearman"))
 
 
 @register(f"SELECT c AS candidate, bin_x, bin_y, n FROM ({_CELLS.format(rows=_LONG)})")
@@ -323,8 +324,7 @@ _SIGNAL_ROWS = union([f"SELECT '{i}' AS c, CAST(f{i} AS DOUBLE) AS x, y FROM ({S
 
 @register(_metrics_sql(_SIGNAL_ROWS))
 def all_metrics(spark, sf_dir):
-    rows = metrics.long_form(signals(spark, sf_dir), {str(i): F.col(f"f{i}") for i in range(3)}, F.col("y"))
-    scored = metrics.with_strength(metrics.score(rows))
+    scored = engine.Engine().score(signals(spark, sf_dir), _e_columns(), "y")
     return scored.select("candidate", *[r(F.col(c)).alias(c) for c in ("pearson", "spearman", "mutual_info", "r2", "strength")])
 
 

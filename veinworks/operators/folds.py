@@ -12,6 +12,8 @@ from ..storage import dense_index, running_total
 
 #: Fixed values of the linear congruential generator.
 FACTOR, SHIFT, MODULUS = 1103515245, 12345, 2**31
+#: Hash digits counted at a time, and rows of a prefix that may be sorted in one task.
+PREFIX, FEW = 3, 100_000
 #: Cumulative Poisson(1) probabilities: a uniform draw's weight is how many it passes.
 _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]
 
@@ -38,8 +40,30 @@ def sample_size(n: int, ratio: float, least: int) -> int:
 
 
 def sample(df: DataFrame, row_id: str, size: int, seed: int) -> DataFrame:
-    """Exactly ``size`` rows (all, if fewer), those first in hash order."""
-    return df.orderBy(hash_order(F.col(row_id), seed), row_id).limit(size)
+    """Exactly ``size`` rows (all, if fewer), those first in hash order. Counts by
+    hash prefix tell which prefixes are in; only the one that the size cuts is
+    sorted, and it is refined until it holds few rows."""
+    order = hash_order(F.col(row_id), seed)
+    inside, left, rows = "", size, df
+    while True:
+        digits = len(inside) + PREFIX
+        prefix = F.substring(order, 1, digits)
+        # At most 16 ** PREFIX rows come to the driver.
+        counts = sorted((r["p"], r["n"]) for r in rows.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect())
+        cut = None
+        for p, n in counts:
+            if n > left:
+                cut = (p, n)
+                break
+            left -= n
+        if cut is None:
+            return df
+        inside = cut[0]
+        rows = df.where(F.substring(order, 1, digits) == inside)
+        if cut[1] <= FEW or digits >= 32:
+            break
+    taken = df.where(order < F.lit(inside))
+    return taken.unionByName(rows.orderBy(order, row_id).limit(left)) if left else taken
 
 
 def bootstrap_weight(row_id: Column, repeat: int, seed: int) -> Column:

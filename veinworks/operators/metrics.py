@@ -47,6 +47,25 @@ def spearman(rows: DataFrame) -> DataFrame:
     return pearson(ranked.select(KEY, F.col("rx").alias("x"), F.col("ry").alias("y"))).withColumnRenamed("pearson", "spearman")
 
 
+def spearman_shared(df: DataFrame, columns: dict[str, Column], y: Column) -> DataFrame:
+    """`spearman` of `long_form`, where the target is ranked once for all candidates
+    whose every row is usable; the others go by themselves."""
+    target = y.cast("double")
+    fine = df.where(usable(F.lit(0.0), target))
+    holes = fine.agg(*[F.count_if(~usable(c.cast("double"), F.lit(0.0))).alias(f"h{i}") for i, c in enumerate(columns.values())]).first()
+    shared = {k: c for i, (k, c) in enumerate(columns.items()) if not holes[f"h{i}"]}
+    alone = {k: c for k, c in columns.items() if k not in shared}
+    out = spearman(long_form(df, alone, y)) if alone or not columns else None
+    if shared:
+        wide = fine.select(target.alias("y"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(shared.values())])
+        ranks = average_ranks(wide.select(F.lit("").alias(KEY), "y"), "y", "ry").select("y", "ry")
+        rows = long_form(wide.join(ranks, "y"), {k: F.col(f"x{i}") for i, k in enumerate(shared)}, F.col("ry"))
+        ranked = rows.join(average_ranks(rows, "x", "rx"), [KEY, "x"]).select(KEY, F.col("rx").alias("x"), "y")
+        found = pearson(ranked).withColumnRenamed("pearson", "spearman")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def bin_of(c: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width cell, the last one closed; 0 where all values are equal."""
     spread = high - low
@@ -72,14 +91,14 @@ def mutual_info(rows: DataFrame, bins: int = 16) -> DataFrame:
     return marked.groupBy(KEY).agg(F.sum(term).alias("mutual_info"))
 
 
-def score(rows: DataFrame, metrics: Sequence[str] = METRICS, mi_bins: int = 16) -> DataFrame:
-    """(candidate, one column for each metric), and strength where all are asked."""
+def score(rows: DataFrame, metrics: Sequence[str] = METRICS, mi_bins: int = 16, ranked: DataFrame | None = None) -> DataFrame:
+    """(candidate, one column for each metric); ``ranked``: Spearman's, if known."""
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unsupported metrics: {', '.join(sorted(unknown))}")
     out = pearson(rows)
     if "spearman" in metrics:
-        out = out.join(spearman(rows), KEY, "left")
+        out = out.join(spearman(rows) if ranked is None else ranked, KEY, "left")
     if "mutual_info" in metrics:
         out = out.join(mutual_info(rows, mi_bins), KEY, "left")
     if "r2" in metrics:
@@ -92,4 +111,4 @@ def with_strength(scores: DataFrame) -> DataFrame:
     return scores.withColumn("strength", strength(*there))
 
 
-__all__ = ["KEY", "SUMS", "average_ranks", "bin_of", "histogram", "long_form", "mutual_info", "pearson", "score", "spearman", "with_strength"]
+__all__ = ["KEY", "SUMS", "average_ranks", "bin_of", "histogram", "long_form", "mutual_info", "pearson", "score", "spearman", "spearman_shared", "with_strength"]

@@ -3,7 +3,8 @@
 Two strategies give the same sums. `native`: conditional aggregates of Column
 expressions, for up to `NATIVE_LIMIT` candidates. `arrow`: each task computes
 every (column, operator) once per batch in numpy and adds all candidates' sums;
-what is shuffled is one row for each task, candidate and fold.
+what is shuffled is one row for each task, candidate and fold. There a block of
+candidates is a matrix, and its sums with every target and weight are products.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ..functions.statistics import SUMS, pearson_of, sums_of
 NATIVE_LIMIT = 30
 BACKENDS = ("auto", "native", "arrow")
 KEY = "candidate"
+#: Rows and candidates of a matrix, and candidates whose sums a task holds.
+ROWS_AT_ONCE, BLOCK, CANDIDATES_A_PASS = 4096, 128, 50_000
 
 
 @dataclass(frozen=True)
@@ -102,57 +105,95 @@ def _native(df: DataFrame, candidates: Sequence[Candidate], y: Column, fold: Col
 
 
 def _arrow(df: DataFrame, candidates: Sequence[Candidate], y: Column, fold: Column, weights: Sequence[Column], targets: Column | None) -> DataFrame:
+    """In passes of at most CANDIDATES_A_PASS, whose sums every task holds."""
+    out = None
+    for start in range(0, max(1, len(candidates)), CANDIDATES_A_PASS):
+        one = _arrow_pass(df, candidates[start : start + CANDIDATES_A_PASS], start, y, fold, weights, targets)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def block_sums(value: np.ndarray, weight: np.ndarray, pulled: np.ndarray, squared: np.ndarray) -> np.ndarray:
+    """SUMS of candidates (rows of ``value``) with draws, by matrix products:
+    ``weight`` (rows x draws, or x 1 for all), ``pulled`` = weight * target,
+    ``squared`` = weight * target**2. NaN values do not count."""
+    gaps = np.isnan(value)
+    shape = (len(value), pulled.shape[1])
+    if gaps.any():
+        ok = (~gaps).astype(np.float64)
+        value = np.where(gaps, 0.0, value)
+        n, sy, syy = ok @ weight, ok @ pulled, ok @ squared
+    else:
+        n, sy, syy = (m.sum(axis=0)[None] for m in (weight, pulled, squared))
+    cells = (n, value @ weight, sy, (value * value) @ weight, syy, value @ pulled)
+    return np.stack([np.broadcast_to(c, shape) for c in cells], axis=2)
+
+
+def _arrow_pass(df: DataFrame, candidates: Sequence[Candidate], first: int, y: Column, fold: Column, weights: Sequence[Column], targets: Column | None) -> DataFrame:
     names = sorted({c for x in candidates for c in x.columns})
     plan = [(tuple(names.index(c) for c in x.columns), x.ops, x.kinds) for x in candidates]
     base = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)], y.cast("double").alias("y"), fold.cast("int").alias("fold"), *[w.cast("double").alias(f"w{i}") for i, w in enumerate(weights)], *([targets.alias("t")] if targets is not None else []))
+    # A few large row groups would leave most cores idle.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() < cores:
+        base = base.repartition(cores)
     n_weights = len(weights)
 
+    def values(xs: list[np.ndarray], made: dict, block: list) -> np.ndarray:
+        out = np.empty((len(block), len(xs[0])))
+        for at, (columns, ops, kinds) in enumerate(block):
+            terms = []
+            for c, o in zip(columns, ops, strict=True):
+                if (c, o) not in made:
+                    made[c, o] = numpy_unary(o, xs[c])
+                terms.append(made[c, o])
+            value = terms[0]
+            for kind, term in zip(kinds, terms[1:], strict=True):
+                value = numpy_combine(value, term, kind)
+            out[at] = value
+        return out
+
+    def draws(batch: pa.RecordBatch, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and targets of all draws (rows x draws each; a target of NaN has
+        weight 0)."""
+        read = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+        w = [np.ones(len(target)), *[read(f"w{i}") for i in range(n_weights)]]
+        t = np.repeat(target[:, None], len(w), axis=1)
+        w = np.stack(w, axis=1)
+        if "t" in batch.schema.names:
+            others = batch.column("t").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(target), -1)
+            w, t = np.hstack([w, np.ones_like(others)]), np.hstack([t, others])
+        lost = np.isnan(t)
+        return np.where(lost, 0.0, w), np.where(lost, 0.0, t)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, int], np.ndarray] = {}
-        for batch in batches:
-            read = lambda c, b=batch: b.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
-            xs = [read(f"x{i}") for i in range(len(names))]
-            target, folds = read("y"), batch.column("fold").to_numpy(zero_copy_only=False)
-            draws = [(target, None), *[(target, read(f"w{i}")) for i in range(n_weights)]]
-            others = None
-            if "t" in batch.schema.names and batch.num_rows:
-                others = batch.column("t").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                if np.isnan(others).any():
-                    draws, others = draws + [(others[:, j], None) for j in range(others.shape[1])], None
-            made: dict[tuple[int, int], np.ndarray] = {}
-            with np.errstate(all="ignore"):
-                for number, (columns, ops, kinds) in enumerate(plan):
-                    terms = []
-                    for c, o in zip(columns, ops, strict=True):
-                        if (c, o) not in made:
-                            made[c, o] = numpy_unary(o, xs[c])
-                        terms.append(made[c, o])
-                    value = terms[0]
-                    for kind, term in zip(kinds, terms[1:], strict=True):
-                        value = numpy_combine(value, term, kind)
-                    for own in np.unique(folds):
-                        here = folds == own
-                        for d, (t, w) in enumerate(draws):
-                            ok = here & ~np.isnan(value) & ~np.isnan(t)
-                            x, z = value[ok], t[ok]
-                            u = x if w is None else x * w[ok]
-                            v = z if w is None else z * w[ok]
-                            sums = np.array([len(x) if w is None else w[ok].sum(), u.sum(), v.sum(), u @ x, v @ z, u @ z])
-                            key = (number, int(own), d)
-                            held[key] = held[key] + sums if key in held else sums
-                        if others is not None:
-                            # All other targets at once, as one matrix product.
-                            ok = here & ~np.isnan(value)
-                            x, t = value[ok], others if ok.all() else others[ok]
-                            n, sx, sxx = len(x), x.sum(), x @ x
-                            for j, (sy, syy, sxy) in enumerate(zip(t.sum(axis=0), np.einsum("ij,ij->j", t, t), x @ t, strict=True)):
-                                key = (number, int(own), len(draws) + j)
-                                sums = np.array([n, sx, sy, sxx, syy, sxy])
-                                held[key] = held[key] + sums if key in held else sums
-        if held:
-            keys = np.array(list(held))
-            sums = np.array(list(held.values()))
-            yield pa.RecordBatch.from_arrays([*[pa.array(keys[:, i].astype(np.int32)) for i in range(3)], *[pa.array(sums[:, i]) for i in range(6)]], names=[KEY, "fold", "draw", *SUMS])
+        held: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                folds = batch.column("fold").to_numpy(zero_copy_only=False)
+                order = np.argsort(folds, kind="stable")
+                batch, folds = batch.take(pa.array(order)), folds[order]
+                xs = [batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(names))]
+                w, t = draws(batch, batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64))
+                pulled = w * t
+                squared = pulled * t
+                if (w == 1).all():
+                    w = w[:, :1]
+                cuts = [0, *(np.flatnonzero(np.diff(folds)) + 1).tolist(), len(folds)]
+                made: dict[tuple[int, int], np.ndarray] = {}
+                with np.errstate(all="ignore"):
+                    for at in range(0, len(plan), BLOCK):
+                        block = values(xs, made, plan[at : at + BLOCK])
+                        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                            own = int(folds[a])
+                            if own not in held:
+                                held[own] = np.zeros((len(plan), pulled.shape[1], len(SUMS)))
+                            held[own][at : at + BLOCK] += block_sums(block[:, a:b], w[a:b], pulled[a:b], squared[a:b])
+        for own, sums in held.items():
+            number, draw = (x.ravel().astype(np.int32) for x in np.indices(sums.shape[:2]))
+            flat = sums.reshape(-1, len(SUMS))
+            yield pa.RecordBatch.from_arrays([pa.array(number + np.int32(first)), pa.array(np.full(len(flat), own, np.int32)), pa.array(draw), *[pa.array(np.ascontiguousarray(flat[:, i])) for i in range(len(SUMS))]], names=[KEY, "fold", "draw", *SUMS])
 
     partial = base.mapInArrow(run, f"{KEY} int, fold int, draw int, " + ", ".join(f"{k} double" for k in SUMS))
     return partial.groupBy(KEY, "fold", "draw").agg(*[F.sum(k).alias(k) for k in SUMS])
