@@ -570,11 +570,13 @@ def untested(placed: DataFrame, p: int, q: int) -> DataFrame:
     first = F.when(F.col("slack") + F.col("most") < 0, n - F.ceil(-(F.col("slack") + F.col("most")) / step) + 1).otherwise(0)
     second = n - F.ceil((F.col("most") + 1 - F.col("slack")) / step) + 1
     rows = rows.drop("d").join(shared, ["c", "x"]).withColumns({"first": first, "second": second}).where(F.greatest("first", "second") > 0)
-    cells = rows.select("c", "x", "label", "first", "second", F.posexplode(F.slice("es", F.lit(1), F.greatest("first", "second").cast("int"))).alias("turn", "cell"))
-    cells = materialise(cells.select("c", "x", "label", (F.col("turn") < F.col("first")).alias("first"), (F.col("turn") < F.col("second")).alias("second"), F.col("cell.e").alias("e")), "prefixes")
-    left = cells.where("first").select("c", "e", F.col("x").alias("a"), F.col("label").alias("la"))
-    right = cells.where("second").select("c", "e", F.col("x").alias("b"), F.col("label").alias("lb"))
-    return left.join(right, ["c", "e"]).where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cells = rows.select("c", "x", "label", "slack", n.alias("n"), "first", "second", F.posexplode(F.slice("es", F.lit(1), F.greatest("first", "second").cast("int"))).alias("turn", "cell"))
+    cells = materialise(cells.select("c", "x", "label", "slack", (F.col("n") - F.col("turn")).alias("rest"), (F.col("turn") < F.col("first")).alias("first"), (F.col("turn") < F.col("second")).alias("second"), F.col("cell.e").alias("e")), "prefixes")
+    left = cells.where("first").select("c", "e", F.col("x").alias("a"), F.col("label").alias("la"), F.col("slack").alias("sa"), F.col("rest").alias("ra"))
+    right = cells.where("second").select("c", "e", F.col("x").alias("b"), F.col("label").alias("lb"), F.col("slack").alias("sb"), F.col("rest").alias("rb"))
+    # The first element that two have in common leaves enough places in both.
+    enough = F.least("ra", "rb") * step >= -(F.col("sa") + F.col("sb"))
+    return left.join(right, ["c", "e"]).where((F.col("la") != F.col("lb")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
