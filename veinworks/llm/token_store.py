@@ -87,11 +87,9 @@ class EliasFano:
         for _ in range(left):
             word &= word - 1
         one = byte * 8 + (word & -word).bit_length() - 1
-        value = (one - i) << self.low
-        for k in range(self.low):
-            bit = i * self.low + k
-            value |= (int(self.lows[bit // 8]) >> bit % 8 & 1) << k
-        return value
+        bit = i * self.low
+        lows = int.from_bytes(self.lows[bit // 8 : (bit + self.low + 7) // 8].tobytes(), "little") >> bit % 8
+        return (one - i) << self.low | lows & ((1 << self.low) - 1)
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
@@ -181,11 +179,11 @@ def read_tokens(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for at, data in zip(batch.column("at"), batch.column("shard"), strict=True):
                 shard = Shard(data.as_py())
-                ends = shard.ends.all().astype(np.int64)
+                keys = [shard.key(i) for i in range(shard.n_docs)]
+                ends = np.array([shard.ends.select(i) for i in range(shard.n_docs)], np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                keys = (shard.keys.all() + np.uint64(shard.base % 2**64)).astype(np.int64)
                 wide = shard.ids.astype("<u4")
                 crcs = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=np.arange(len(keys)) < shard.nulls), pa.array(starts + at.as_py()), pa.array(ends - starts), pa.array(crcs, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + at.as_py()), pa.array(ends - starts), pa.array(crcs, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
     return placed.mapInArrow(decode, DOC_SCHEMA)
