@@ -3,9 +3,11 @@
 Features are the character n-grams that a lower-cased text holds, present or
 not. Each is scaled by its log-count ratio between the classes; a logistic
 regression on the scaled features, shrunk towards its mean weight, gives the
-score. Fitting takes a bounded sample of labelled rows, drawn by hash: of each
-class `MAX_ROWS` texts of up to `USUAL_CHARS` and `MAX_LONG` longer ones of up
-to `MAX_CHARS`. Scoring reads every whole text.
+score. An n-gram is a feature if `LEAST_COUNT` texts of the sample hold it and its
+chi-squared is `CHI_SQUARED` or more (the best `LEAST_FEATURES` in any case). Fitting
+takes a bounded sample of labelled rows, drawn by hash: of each class `MAX_ROWS` texts
+of up to `USUAL_CHARS` and `MAX_LONG` longer ones of up to `MAX_CHARS`. Scoring reads
+every whole text.
 
 Scoring is array work over a batch: rolling 64-bit n-gram hashes, one bitmap
 look-up each, and an exact look-up of the few that the model knows. The model
@@ -14,7 +16,8 @@ has at most `MAX_FEATURES` weights, so what is shipped to tasks is bounded.
 Defined cases: null or empty texts have no feature and get the model's score of
 an empty text; null labels are not learned from; without both classes in the
 sample every score is 1.0 if all labels are 1, else 0.0; repeated rows are
-scored each; other columns pass by untouched.
+scored each; an empty table gives none; other columns pass by untouched, but one
+named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_remainder, materialise, slices, whole_texts
@@ -37,7 +40,7 @@ MAX_CHARS = 200_000
 MAX_FEATURES = 20_000
 LEAST_FEATURES = 200
 CHI_SQUARED = 30.0
-COMMON = 0.02
+LEAST_COUNT = 5
 BITMAP = 22
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD1B54A32D192ED03)
@@ -110,9 +113,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, shrink: float =
         return found[found != 0]
 
     def worth(df: np.ndarray, positive: np.ndarray) -> np.ndarray:
-        """Chi-squared of those found in a fair share of a class: among a million
-        n-grams only clear association counts, for labels are noisy."""
-        common = (positive >= np.maximum(2, COMMON * n1)) | (df - positive >= np.maximum(2, COMMON * (n - n1)))
+        """Chi-squared of those found in `LEAST_COUNT` texts: among a million n-grams
+        only clear association counts, for labels are noisy."""
+        common = df >= LEAST_COUNT
         return n * (positive * n - df * n1) ** 2 / np.maximum(df * (n - df) * n1 * (n - n1), 1e-9) * common
 
     # First by hash bucket, in fixed memory; then exactly, of promising buckets.
@@ -178,9 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_rows: int =
     drawn = [known.where(F.col("y") == F.lit(toxic)).orderBy("h", "id").limit(2 * max_rows) for toxic in (True, False)]
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
     found = materialise(texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").withColumn("long", F.length("text") > USUAL_CHARS), "sample")
-    w = Window.partitionBy("y", "long").orderBy("h", "id", "text")
-    found = found.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= F.when(F.col("long"), MAX_LONG).otherwise(max_rows))
-    rows = found.orderBy("y", "h", "id", "turn").select("text", "y").collect()
+    rows = []
+    for toxic in (False, True):
+        for long, most in ((False, max_rows), (True, MAX_LONG)):
+            # Each task gives no more rows than are asked for.
+            rows += found.where((F.col("y") == F.lit(toxic)) & (F.col("long") == F.lit(long))).orderBy("h", "id", "text").limit(most).collect()
+    rows.sort(key=lambda r: (r["y"], r["h"], r["id"], r["text"]))
     return fit([r["text"] for r in rows], [int(r["y"]) for r in rows])
 
 
