@@ -3,13 +3,14 @@
 Every byte of a text is labelled by a forward and a backward GRU that read its
 window of `WINDOW` bytes; the position's class probabilities are averaged over
 the whole text. The network is trained in numpy by backpropagation through time
-(`Network.train`) on a bounded sample: at most `MAX_LANGUAGES` most frequent
-labels, `MAX_ROWS` texts of each, `CUTS` pieces of each text. Weights are a few
-kilobytes; scoring is narrow and reads whole texts, windows batched.
+(`Network.train`) on a bounded sample of every label: `MAX_ROWS` texts of each and
+`MAX_SAMPLE` in all, `CUTS` pieces of `CUT_CHARS` characters of each text. Weights
+are a few kilobytes; scoring is narrow and reads whole texts, windows batched.
 
 Defined cases: text that is null or has no letter is `und` with score 0; with no
 label to learn from, every text is `und`; repeated rows are labelled each; null
-labels are not learned from; other columns are never looked at.
+labels are not learned from; an empty table gives none; other columns pass by
+untouched, but those named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from .common import doc_remainder, slices, whole_texts
 
 WINDOW = 128
 HIDDEN = 12
-MAX_LANGUAGES = 64
 MAX_ROWS = 500
+#: Training texts in all; with many labels each has fewer.
+MAX_SAMPLE = 32_000
 CUTS = 6
 CUT_CHARS = 64
 UNKNOWN = "und"
@@ -179,9 +181,10 @@ def train(df: DataFrame, modulus: int = 5, text: str = "text", label: str = "lan
     texts by hash (their share follows from counts of the label column alone),
     cut into CUTS pieces spread over the whole text."""
     rows = df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("y"), F.col(text).cast("string").alias("t")).where("y is not null and t is not null").where(doc_remainder(modulus, "id") != 0)
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_SAMPLE).collect()
     if not counts:
         return None
+    max_rows = max(1, min(max_rows, MAX_SAMPLE // len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(1.0, 1.5 * max_rows / r["count"]))])
     h = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40))
     rows = rows.where(F.rlike("t", F.lit(r"\p{L}"))).withColumn("h", h).where(F.col("h") < F.try_element_at(share, F.col("y")) * (1 << 40))
