@@ -121,16 +121,24 @@ def _block(spark, candidates: DataFrame, ids: np.ndarray, vectors: np.ndarray, n
                 yield batch.column("vec_id").to_numpy(), [products(q[:, a:b], m[:, a:b], exact) for a, b in nodes]
 
     def phase1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each node's k + 1 best of all rows of the task (one may be the query)."""
         qids = held.value[0]
+        best: list[tuple | None] = [None] * len(nodes)  # partial, full score, id
         for own, parts in lists(batches):
             total = sum(parts)
             for n, scores in enumerate(parts):
-                most = min(k + 1, len(own))
-                best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-                at_q, at_r = np.repeat(np.arange(len(qids)), most), best.ravel()
-                keep = qids[at_q] != own[at_r]
-                at_q, at_r = at_q[keep], at_r[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(qids[at_q]), pa.array(np.full(len(at_q), n, np.int32)), pa.array(own[at_r]), pa.array(scores[at_q, at_r].astype(np.int64)), pa.array(total[at_q, at_r].astype(np.int64))], names=["query_id", "node", "vec_id", "part", "score"])
+                told = [scores, total, np.broadcast_to(own, scores.shape)]
+                if best[n] is not None:
+                    told = [np.concatenate([a, b], axis=1) for a, b in zip(best[n], told, strict=True)]
+                most = min(k + 1, told[0].shape[1])
+                at = np.argpartition(-told[0], most - 1, axis=1)[:, :most]
+                best[n] = tuple(np.take_along_axis(x, at, axis=1) for x in told)
+        for n, found in enumerate(best):
+            if found is not None:
+                part, total, own = (x.ravel().astype(np.int64) for x in found)
+                at_q = np.repeat(qids, found[0].shape[1])
+                keep = at_q != own
+                yield pa.RecordBatch.from_arrays([pa.array(at_q[keep]), pa.array(np.full(int(keep.sum()), n, np.int32)), pa.array(own[keep]), pa.array(part[keep]), pa.array(total[keep])], names=["query_id", "node", "vec_id", "part", "score"])
 
     local = candidates.mapInArrow(phase1, "query_id long, node int, vec_id long, part long, score long")
     w = Window.partitionBy("query_id", "node").orderBy(F.desc("part"), "vec_id")
