@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
     if _own_shared is None:
         _own_shared = tempfile.mkdtemp(prefix="veinworks-")
     return f"file://{_own_shared}"
