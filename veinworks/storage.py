@@ -18,6 +18,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     that is unset (a local session) in a temporary folder."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
     if not root:
         _own = _own or tempfile.mkdtemp(prefix="veinworks-")
         root = f"file://{_own}"
