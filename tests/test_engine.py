@@ -18,6 +18,7 @@ from veinworks.operators.scoring import Candidate
 from veinworks.operators.selector import InteractionSelector
 from veinworks.plans import candidates as plans
 from veinworks.plans import engine, search, strategy
+from veinworks.sources import files
 from veinworks.sources.files import TableSource, chunk_rows, from_arrays
 from veinworks.storage import dense_index, running_total
 from veinworks.streaming.online import online_correlation
@@ -255,3 +256,42 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: (r["window"]["start"], r["candidate"])
     got, want = (sorted(d.collect(), key=key) for d in (spark.table("online"), online_correlation(df, wanted, F.col("y"), "ts")))
     assert len(got) == len(want) and all(key(a) == key(b) and math.isclose(a["pearson"], b["pearson"], abs_tol=1e-9) for a, b in zip(got, want, strict=True))
+
+
+def test_missing_file_and_sources(spark, sf_dir):
+    import pandas as pd
+
+    with pytest.raises(FileNotFoundError):
+        files.TableSource(spark, f"{sf_dir}/none.parquet")
+    source, size = files.open_source(spark, f"{sf_dir}/lineitem.parquet", "l_tax", ["l_quantity"])
+    assert size == files.chunk_rows(1) and len(source) > 0
+    assert files.from_frame(spark, pd.DataFrame({"a": [1, 2]})).count() == 2
+    assert files.from_frame(spark, source.df) is source.df
+
+
+def test_auto_plan():
+    assert search.auto_plan(1000, 4, 1e9).mode == "full"
+    assert search.auto_plan(10**9, 400, 10.0).mode != "full"
+
+
+def test_sample_is_the_first_in_hash_order(spark, monkeypatch):
+    monkeypatch.setattr(folds, "FEW", 3)
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    for size in (0, 1, 700, 2000, 5000):
+        want = df.orderBy(folds.hash_order(F.col("k"), 5), "k").limit(size)
+        assert sorted(folds.sample(df, "k", size, 5).collect()) == sorted(want.collect())
+
+
+def test_candidates_in_passes_with_gaps(spark, monkeypatch):
+    """Blocks, passes, weights and targets give what plain sums give."""
+    monkeypatch.setattr(scoring, "CANDIDATES_A_PASS", 2)
+    rows = [(float(i % 7) if i % 5 else float("nan"), float(i % 11), float(i), i % 3, i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int, w int")
+    asked = [scoring.Candidate(("a", "b"), (0, 6), (0,)), scoring.Candidate(("a",), (0,)), scoring.Candidate(("a", "b", "b"), (0, 0, 3), (1, 2))]
+    got = {(r.candidate, r.fold, r.draw): r for r in scoring.fold_sums(df, asked, F.col("y"), F.col("fold"), "arrow", [F.col("w")], F.array(-F.col("y"))).collect()}
+    assert len(got) == 3 * 3 * 3
+    for fold in range(3):
+        own = [(a * b * b, y, w) for a, b, y, f, w in rows if f == fold and a == a]
+        for draw, (sign, weigh) in enumerate(((1, False), (1, True), (-1, False))):
+            r, n = got[0, fold, draw], [w if weigh else 1 for _, _, w in own]
+            assert r.n == sum(n) and abs(r.sxy - sum(k * x * y * sign for k, (x, y, _) in zip(n, own, strict=True))) < 1e-6

@@ -105,6 +105,12 @@ def quick_search(df: DataFrame, features: Sequence[str], y: Column, row_id: str,
     return Search(SearchConfig(**settings)).search(df, features, y, row_id)[:top]
 
 
+def auto_plan(n_rows: int, n_features: int, throughput: float, target_seconds: float = strategy.FULL_SECONDS, config: SearchConfig | None = None) -> strategy.Strategy:
+    """The mode that a search of this size would run in, without any data."""
+    cfg = config or SearchConfig()
+    return strategy.choose(grid_size(n_features, len(cfg.operators), len(cfg.interactions), cfg.max_arity), n_rows, throughput, target_seconds)
+
+
 def results_frame(spark: SparkSession, found: Sequence[Found]) -> DataFrame:
     rows = [(f.candidate.describe(), list(f.candidate.columns), f.train_r, f.val_r, f.votes) for f in found]
     return spark.createDataFrame(rows, "description string, columns array<string>, train_r double, val_r double, votes int")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +29,14 @@ class TableSource:
     """A Parquet or CSV table of features and, perhaps, a target."""
 
     def __init__(self, spark: SparkSession, path: str, target: str | None = None, features: Sequence[str] | None = None):
-        if path.endswith(".parquet"):
-            self.df = spark.read.parquet(path)
-        elif path.endswith(".csv"):
-            self.df = spark.read.csv(path, header=True, inferSchema=True)
-        else:
+        if not path.endswith((".parquet", ".csv")):
             raise ValueError(f"only .parquet and .csv are read: {path}")
+        try:
+            self.df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(path) from e
+            raise
         self.target = target
         if target is not None and target not in self.df.columns:
             raise ValueError(f"no column {target}")
@@ -92,6 +95,19 @@ class TableSource:
         return (np.ascontiguousarray(whole[:, :n]), np.ascontiguousarray(whole[:, n])) if with_target else whole
 
 
+def open_source(spark: SparkSession, path: str, target: str | None = None, features: Sequence[str] | None = None, budget_gb: float = 6.0) -> tuple[TableSource, int]:
+    """The table at ``path`` and the rows of a chunk that fit the budget."""
+    source = TableSource(spark, path, target, features)
+    return source, chunk_rows(len(source.features), budget_gb)
+
+
+def from_frame(spark: SparkSession, frame) -> DataFrame:
+    """A DataFrame of a pandas, Polars or Arrow table, or of Spark itself."""
+    if isinstance(frame, DataFrame):
+        return frame
+    return spark.createDataFrame(frame.to_arrow() if hasattr(frame, "to_arrow") else frame)
+
+
 def from_arrays(spark: SparkSession, x, y, names: Sequence[str] | None = None) -> DataFrame:
     """row_id, features and y from array-likes, checked for shape and numbers."""
     x, y = np.asarray(x), np.asarray(y)
