@@ -12,10 +12,6 @@ class ComputeBudget:
     max_comb_size: int = 2
     max_combinations_per_k: int = 5000
     top_features_for_higher_k: int = 50
-    #: Kept so that configurations carry over; Spark spills by itself.
-    max_generated_features: int = 0
-    keep_in_vram: bool = True
-    vram_budget_mb: int = 6144
 
     def problems(self, n_features: int) -> list[str]:
         """Warnings; raises on settings that cannot work."""
@@ -43,7 +39,6 @@ class EngineConfig:
     mi_bins: int = 16
     #: Scoring strategy: auto, native (Catalyst expressions) or arrow.
     backend: str = "auto"
-    device_id: int = 0
 
 
 @dataclass
